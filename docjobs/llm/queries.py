@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docjobs.llm import decontam, exact_dedup, token_files
+from docjobs.llm import decontam, exact_dedup, simhash, token_files
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_files": token_files.op10_token_files,
