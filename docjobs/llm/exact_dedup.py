@@ -200,13 +200,13 @@ def assign_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     original = F.coalesce(F.col(text), F.lit(""))
     norm = F.translate(original, SPACES, "")
     added = ("keep_id", "group_size", "kept", "text_sha256", "n_owner_rows")
-    rows = docs.drop(*added).withColumn("text_sha256", F.sha2(norm.cast("binary"), 256))
+    rows = docs.drop(*added).withColumn("text_sha256", F.sha2(norm.cast("binary"), 256)).withColumn("_length", F.length(original))  # before the join, which then need not carry the text
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.length(original).cast("long").alias("points"), F.octet_length(norm).cast("long").alias("n_bytes"), F.xxhash64(norm).alias("h"), F.sha2(norm.cast("binary"), 256).alias("sha"), norm.cast("binary").alias("body"))
     dealt = keyed.mapInArrow(_local_owners, _OWNER).repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h")
     owners = dealt.mapInArrow(_owners, _OWNER).filter("n > 1").select(F.col("sha").alias("text_sha256"), F.col("id").alias("keep_id"), F.col("points").alias("_points"), F.col("n").alias("group_size"), F.col("owners").alias("n_owner_rows"), F.lit(True).alias("_shared"))
     joined = rows.join(owners, "text_sha256", "left")
-    own, points = F.col(doc_id).cast("long"), F.length(original)
-    return joined.select(*(c for c in rows.columns if c != "text_sha256"), F.when(F.col("_shared"), F.col("keep_id")).otherwise(own).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("_shared").isNull() | (F.col("keep_id").eqNullSafe(own) & (F.col("_points") == points))).alias("kept"), "text_sha256", F.coalesce("n_owner_rows", F.lit(1)).alias("n_owner_rows"))
+    own = F.col(doc_id).cast("long")
+    return joined.select(*(c for c in rows.columns if c not in ("text_sha256", "_length")), F.when(F.col("_shared"), F.col("keep_id")).otherwise(own).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("_shared").isNull() | (F.col("keep_id").eqNullSafe(own) & (F.col("_points") == F.col("_length")))).alias("kept"), "text_sha256", F.coalesce("n_owner_rows", F.lit(1)).alias("n_owner_rows"))
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
