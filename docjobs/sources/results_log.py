@@ -12,7 +12,7 @@ def read_results_log(spark: SparkSession, path: str) -> DataFrame:
     """metadata, extraction, model_dir, file_time; reads both pretty-printed files and what write_results_log writes."""
     raw = spark.read.schema(LOG_RECORD).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     file = F.col("_metadata.file_path")
-    folder = F.regexp_extract(file, r"/(?:model=)?([^/]+)/[^/]+$", 1)
+    folder = F.url_decode(F.regexp_replace(F.regexp_extract(file, r"/(?:model=)?([^/]+)/[^/]+$", 1), r"\+", "%2B"))  # paths come percent-encoded
     stamp = F.try_to_timestamp(F.nullif(F.regexp_extract(file, r"/(\d{8}_\d{6})_[^/]*$", 1), F.lit("")), F.lit("yyyyMMdd_HHmmss"))
     return raw.select("metadata", "extraction", folder.alias("model_dir"), stamp.alias("file_time"))
 
