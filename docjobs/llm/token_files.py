@@ -17,7 +17,6 @@ from __future__ import annotations
 import array
 import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -31,20 +30,44 @@ from docjobs.llm.common import shared_dir, small_batches
 
 #: Text pieces whose ids a worker remembers before it starts afresh: bounds its memory, changes no result.
 CACHED_PIECES = 1_000_000
-#: Pieces that go to the tokenizer in one call.
-PIECES_A_CALL = 96
 NULL_ID = -(2**63)
 
-_SPLIT_UNSAFE = re.compile(r"\s\s|^\s|\s$")
 _encoders: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+class _Known(dict):
+    """word -> the ids of lead + word, each distinct word encoded once until the dictionary is full."""
+
+    def __init__(self, enc: Encoder, lead: str):
+        self.enc, self.lead = enc, lead
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            out = self[word[:-1]] + self.enc.marks[word[-1]]
+        elif word.isalpha():
+            out = self.enc.pack([t.id for t in self.enc.model.tokenize((self.lead + word).encode().decode("latin-1").translate(self.enc.letters))])
+        else:
+            out = self.enc.pack(self.enc.ids(self.lead + word)) if word else b""
+        if len(self) >= CACHED_PIECES:
+            self.clear()
+        self[word] = out
+        return out
+
+
 class Encoder:
     """Encodes texts through the tokenizers library, each distinct piece once per worker.
 
-    A byte-level pre-tokenizer always starts a new token at a single space between two characters that are not white
-    space, so a text may be cut there and its pieces encoded apart. Texts with other arrangements of white space, and
-    all texts of tokenizers of other kinds, are encoded whole.
+    A byte-level pre-tokenizer always starts a new token at a single space or line end between two characters that are
+    not white space, so a text may be cut there and its pieces encoded apart; a run of letters is one token of it, which
+    its model takes as it is. Texts with other arrangements of white space, and all texts of tokenizers of other kinds,
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -54,49 +77,32 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         spec = json.loads(self.tok.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        mark = self._ids("\n") if byte_level else []
-        self.mark = mark[0] if len(mark) == 1 else None
+        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _ids(self, text: str) -> list[int]:
+        if self.by_piece:
+            self.model = self.tok.model
+            self.model._resize_cache(0)  # rare words would only pass through it
+            self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+            self.marks = {x: self.pack(self.ids(x)) for x in (".", ",", "\n")}
+            self.inner, self.first = _Known(self, " "), _Known(self, "")
+
+    def ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        lone = [x for x in pieces if "\n" in x]
-        for x, e in zip(lone, self.tok.encode_batch_fast(lone, add_special_tokens=False) if lone else []):
-            self.known[x] = self._bytes(e.ids)
-        rest, size = [x for x in pieces if "\n" not in x], self.dtype.itemsize
-        for k in range(0, len(rest), PIECES_A_CALL):
-            part = rest[k : k + PIECES_A_CALL]
-            ids = np.asarray(self._ids("\n".join(part)), dtype=self.dtype)
-            raw, at = ids.tobytes(), 0
-            for x, end in zip(part, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]):
-                self.known[x] = raw[at : end * size]
-                at = (end + 1) * size
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            if self.mark is None or _SPLIT_UNSAFE.search(t) or any(x in t for x in self.added):
-                cut.append(None)
-            else:
-                words = t.split(" ")
-                words[1:] = [" " + w for w in words[1:]]
-                cut.append(words)
-        new = set().union(*(x for x in cut if x)).difference(self.known)
-        if len(self.known) + len(new) > CACHED_PIECES:
-            self.known = {"": b""}
-            new = set().union(*(x for x in cut if x)).difference(self.known)
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) if p is not None else self._bytes(self._ids(t or "")) for t, p in zip(texts, cut)]
+    def pack(self, ids) -> bytes:
+        return array.array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        single = self.by_piece and text.replace("\n", " ") == " ".join(text.split())  # no other white space
+        if not single or any(x in text for x in self.added):
+            return self.pack(self.ids(text))
+        inner, lines = self.inner.__getitem__, []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            lines.append(self.first[words[0]] + b"".join(map(inner, words[1:])))
+        return self.marks["\n"].join(lines)
 
 
 def encoder(path: str) -> Encoder:
@@ -127,7 +133,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         with out.open_output_stream(f"{temp}.bin") as flat:
             for batch in batches:
                 ids.extend(NULL_ID if x is None else x for x in batch.column(0).to_pylist())
-                for tokens in enc.encode(batch.column(1).to_pylist()):
+                for tokens in map(enc.encode, batch.column(1).to_pylist()):
                     flat.write(tokens + end)
                     at += len(tokens) // enc.dtype.itemsize + 1
                     offsets.append(at)
