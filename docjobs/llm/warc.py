@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import shared_dir, small_batches
+from docjobs.llm.common import shared_dir, small_batches, written
 
 #: Payloads below so many bytes are always responses.
 LEAST_SHARED = 100
@@ -187,7 +187,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the pages written as archives in the shared folder, read back and assembled."""
     folder = shared_dir(spark, "warc")
     names = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return resolve(assemble(read_records(spark, folder, names)))
+    records = written(read_records(spark, folder, names), "warc-records")  # each side of the joins reads it
+    return resolve(assemble(records))
 
 
 ORACLE_SQL = """
