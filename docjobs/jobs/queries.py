@@ -224,8 +224,8 @@ def c8(spark, sf_dir):
 
 
 @query("c9_results_metrics", """
-SELECT event_type AS model, count(*) AS n, round(count(*) FILTER (value > 20) / count(*), 6) AS success_rate, round(avg(value), 6) AS avg_s, round(quantile_cont(value, 0.5), 6) AS median_s, round(quantile_cont(value, 0.95), 6) AS p95_s, round(max(value), 6) AS max_s, round(avg(greatest(value - 20, 0)), 6) AS avg_confidence
-FROM events GROUP BY event_type""")
+SELECT event_type AS model, count(*) AS n, round(count(*) FILTER (value > 20) / count(*), 6) AS success_rate, round(avg(d), 6) AS avg_s, round(quantile_cont(d, 0.5), 6) AS median_s, round(quantile_cont(d, 0.95), 6) AS p95_s, round(max(d), 6) AS max_s, round(avg(greatest(value - 20, 0)), 6) AS avg_confidence
+FROM (SELECT *, round(value, 4) AS d FROM events) GROUP BY event_type""")
 def c9(spark, sf_dir):
     log = R.table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.col("value").alias("duration_seconds"), F.greatest(F.col("value") - 20, F.lit(0.0)).alias("confidence_score"))
     out = store.results_metrics(log)
@@ -372,10 +372,10 @@ def f2(spark, sf_dir):
 
 
 @query("f3_combine_documents", """
-SELECT source AS session_id, md5(string_agg('Document: ' || lang || doc_id || '.PDF' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY (lang || doc_id || '.PDF') COLLATE "C")) AS digest FROM documents WHERE doc_id % 3 <> 0 GROUP BY source""".replace(' COLLATE "C"', ""))
+SELECT CAST(floor(doc_id / 10) AS BIGINT) AS session_id, md5(string_agg('Document: ' || lang || doc_id || '.PDF' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY (lang || doc_id || '.PDF'))) AS digest FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1""")
 def f3(spark, sf_dir):
     name = F.concat("lang", F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".PDF"))
-    files = R.table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), name.alias("name"), "text")
+    files = R.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("session_id"), name.alias("name"), "text")
     return pages.combine_documents(files).select("session_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

@@ -26,9 +26,14 @@ def cache_upsert(cache: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def retain_latest(sessions: DataFrame, keep: int = KEEP_SESSIONS) -> DataFrame:
-    """sessions (base, session) plus kept: the latest names of each base stay."""
+    """sessions (base, session, unique) plus kept: the latest names of each base stay.
+
+    Only the first `keep` of each base are ranked, which Spark limits in the map tasks; the rest compare with the last of them.
+    """
     order = Window.partitionBy("base").orderBy(F.desc("session"))
-    return sessions.withColumn("kept", F.row_number().over(order) <= keep)
+    latest = sessions.select("base", "session").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
+    oldest = latest.groupBy("base").agg(F.min("session").alias("_oldest"))
+    return sessions.join(oldest, "base", "left").withColumn("kept", F.coalesce(F.col("session") >= F.col("_oldest"), F.lit(False))).drop("_oldest")
 
 
 def extraction_summary(results: DataFrame) -> DataFrame:
@@ -36,13 +41,18 @@ def extraction_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("processed"), F.count_if(F.col("confidence") > 0).alias("found"))
 
 
-def results_metrics(log: DataFrame) -> DataFrame:
-    """log (model, duration_seconds, confidence_score) -> a row per model."""
-    took = F.col("duration_seconds")
-    return log.groupBy("model").agg(
-        F.count("*").alias("n"), (F.count_if(F.col("confidence_score") > 0) / F.count("*")).alias("success_rate"),
-        F.avg(took).alias("avg_s"), F.percentile(took, F.lit(0.5)).alias("median_s"), F.percentile(took, F.lit(0.95)).alias("p95_s"), F.max(took).alias("max_s"),
-        F.avg("confidence_score").alias("avg_confidence"),
+def results_metrics(log: DataFrame, digits: int = 4) -> DataFrame:
+    """log (model, duration_seconds, confidence_score) -> a row per model.
+
+    Durations have so many decimals in the log, so equal ones are counted first; the exact percentiles then see each
+    value once, however many results a model has.
+    """
+    counted = log.groupBy("model", F.round("duration_seconds", digits).alias("d")).agg(F.count("*").alias("c"), F.count_if(F.col("confidence_score") > 0).alias("good"), F.sum("confidence_score").alias("conf"), F.count("confidence_score").alias("n_conf"))
+    known = F.when(F.col("d").isNotNull(), F.col("c")).otherwise(0)
+    return counted.groupBy("model").agg(
+        F.sum("c").alias("n"), (F.sum("good") / F.sum("c")).alias("success_rate"),
+        (F.sum(F.col("d") * F.col("c")) / F.nullif(F.sum(known), F.lit(0))).alias("avg_s"), F.percentile("d", F.lit(0.5), known).alias("median_s"), F.percentile("d", F.lit(0.95), known).alias("p95_s"), F.max("d").alias("max_s"),
+        (F.sum("conf") / F.nullif(F.sum("n_conf"), F.lit(0))).alias("avg_confidence"),
     )
 
 
