@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The two ASCII white-space classes that the operators name: what separates words, and what may be deleted.
 SPACES = " \t\n\x0b\x0c\r"
@@ -41,12 +41,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared file system, by Spark's own file-system client."""
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def row_key(doc_id: str, text: str) -> Column:
+    """The id and a hash of the text: what tells documents apart where ids repeat."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(F.col(text)))
 
 
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:

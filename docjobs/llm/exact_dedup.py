@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import SPACES, small_batches
+from docjobs.llm.common import SPACES, small_batches, written
 
 #: Bytes of keys that a trie holds before it passes rows on (scan side) or spills a subtree (dealt side).
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 16 << 20
 #: Rows after which a scan task passes on what its trie holds.
-TRIE_KEYS = 100_000
+TRIE_KEYS = 20_000
 
 
 class _Node:
@@ -191,30 +191,39 @@ def _owners(batches):
     yield _rows(list(flush()))
 
 
-def assign_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs plus keep_id, group_size, kept, text_sha256 (and n_owner_rows, for repeated rows).
-
-    The added names replace columns of docs that clash with them.
-    """
+def shared_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """text_sha256, keep_id, group_size, n_owner_rows of each class of more than one row."""
     small_batches(docs.sparkSession)
     original = F.coalesce(F.col(text), F.lit(""))
     norm = F.translate(original, SPACES, "")
-    added = ("keep_id", "group_size", "kept", "text_sha256", "n_owner_rows")
-    rows = docs.drop(*added).withColumn("text_sha256", F.sha2(norm.cast("binary"), 256)).withColumn("_length", F.length(original))  # before the join, which then need not carry the text
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.length(original).cast("long").alias("points"), F.octet_length(norm).cast("long").alias("n_bytes"), F.xxhash64(norm).alias("h"), F.sha2(norm.cast("binary"), 256).alias("sha"), norm.cast("binary").alias("body"))
     dealt = keyed.mapInArrow(_local_owners, _OWNER).repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h")
-    owners = dealt.mapInArrow(_owners, _OWNER).filter("n > 1").select(F.col("sha").alias("text_sha256"), F.col("id").alias("keep_id"), F.col("points").alias("_points"), F.col("n").alias("group_size"), F.col("owners").alias("n_owner_rows"), F.lit(True).alias("_shared"))
-    joined = rows.join(owners, "text_sha256", "left")
+    return dealt.mapInArrow(_owners, _OWNER).filter("n > 1").select(F.col("sha").alias("text_sha256"), F.col("id").alias("keep_id"), F.col("points").alias("_points"), F.col("n").alias("group_size"), F.col("owners").alias("n_owner_rows"), F.lit(True).alias("_shared"))
+
+
+def assign_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: DataFrame | None = None) -> DataFrame:
+    """All columns of docs plus keep_id, group_size, kept, text_sha256 (and n_owner_rows, for repeated rows).
+
+    The added names replace columns of docs that clash with them. classes: what shared_classes has found, if at hand.
+    """
+    original = F.coalesce(F.col(text), F.lit(""))
+    added = ("keep_id", "group_size", "kept", "text_sha256", "n_owner_rows")
+    # the length before the join, which then need not carry the text
+    rows = docs.drop(*added).withColumn("text_sha256", F.sha2(F.translate(original, SPACES, "").cast("binary"), 256)).withColumn("_length", F.length(original))
+    joined = rows.join(shared_classes(docs, doc_id, text) if classes is None else classes, "text_sha256", "left")
     own = F.col(doc_id).cast("long")
     return joined.select(*(c for c in rows.columns if c not in ("text_sha256", "_length")), F.when(F.col("_shared"), F.col("keep_id")).otherwise(own).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("_shared").isNull() | (F.col("keep_id").eqNullSafe(own) & (F.col("_points") == F.col("_length")))).alias("kept"), "text_sha256", F.coalesce("n_owner_rows", F.lit(1)).alias("n_owner_rows"))
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with the columns of docs. Of rows that repeat the owner's id and text one stays."""
-    kept = assign_owners(docs, doc_id, text).filter("kept")
-    lone = kept.filter("n_owner_rows = 1").select(*docs.columns)
-    repeated = kept.filter("n_owner_rows > 1").dropDuplicates(["text_sha256"]).select(*docs.columns)
-    return lone.unionByName(repeated)
+    """The documents that stay, with all columns of docs. Of rows that repeat the owner's id and text one stays."""
+    classes = written(shared_classes(docs, doc_id, text), "classes")
+    own = docs.withColumn("_row", F.struct(*docs.columns)).select(doc_id, text, "_row")  # keeps columns with the added names
+    kept = assign_owners(own, doc_id, text, classes).filter("kept")
+    if not classes.filter("n_owner_rows > 1").isEmpty():
+        lone = kept.filter("n_owner_rows = 1").select("_row")
+        kept = lone.unionByName(kept.filter("n_owner_rows > 1").dropDuplicates(["text_sha256"]).select("_row"))
+    return kept.select("_row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import small_batches, written
+from docjobs.llm.common import row_key, small_batches, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that one key may bring together before it is dealt again by other bits.
@@ -69,11 +69,11 @@ def _fingerprint_rows(k: int, batches):
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed 64-bit), key (a hash of id and text, for joins back to docs)."""
+    """doc_id, fp (signed 64-bit), key (id and a hash of the text, for joins back to docs)."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
-    return rows.mapInArrow(functools.partial(_fingerprint_rows, k), f"doc_id {kind}, fp long, key long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
+    return rows.mapInArrow(functools.partial(_fingerprint_rows, k), f"doc_id {kind}, fp long, key string")
 
 
 def _bit_rows(batches):
@@ -319,7 +319,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     """One document of each component stays, that with the smallest id; the columns of docs."""
     found = classes(docs, doc_id, text, k, radius)
     dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("key").alias("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text)))
+    keyed = docs.withColumn("_key", row_key(doc_id, text))
     return keyed.join(dropped, "_key", "left_anti").select(*docs.columns)
 
 
