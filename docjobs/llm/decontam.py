@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import small_batches, written
+from docjobs.llm.common import row_key, small_batches, written
 
 WINDOW, SHINGLE = 10, 5
 #: The bit table has at least 64 bits a shingle and this many at most (16 MB); beyond, it only filters less.
@@ -35,22 +35,37 @@ for _b in range(256):
     elif 65 <= _b <= 90:
         _FOLD[_b] = _b + 32
 
+#: Bytes of text that are looked at together, and the powers that a worker keeps; a longer text makes its own for a while.
+CHUNK = 1 << 19
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     global _powers
-    if len(_powers[0]) < n:
-        m = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            out = []
-            for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-                x = np.full(m, b, np.uint64)
-                x[0] = 1
-                out.append(np.cumprod(x, dtype=np.uint64))
+    if len(_powers[0]) >= n:
+        return _powers
+    with np.errstate(over="ignore"):
+        out = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(max(n, 2 * CHUNK), b, np.uint64)
+            x[0] = 1
+            out.append(np.cumprod(x, dtype=np.uint64))
+    if n <= 2 * CHUNK:
         _powers = tuple(out)
-    return _powers
+    return tuple(out)
+
+
+def _chunks(batch):
+    """Slices of a batch whose texts (its second column) have about CHUNK bytes, or one text."""
+    size = [len(x) if x else 0 for x in batch.column(1).to_pylist()]
+    first, held = 0, 0
+    for i, n in enumerate(size):
+        if held and held + n > CHUNK:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    yield batch.slice(first)
 
 
 class Words:
@@ -146,7 +161,7 @@ def _run_rows(table, bits: int, needed: dict[int, int]):
 
     def rows(batches):
         known = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _chunks(whole)):
             w = Words(_blob(batch.column(1)))
             hit = np.zeros(len(w.start) + 1, np.int32)
             for k, need in needed.items():
@@ -171,7 +186,7 @@ def _run_rows(table, bits: int, needed: dict[int, int]):
     return rows
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, keep_row: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Per document: doc_id, row (a number of this run that tells rows apart), n_words, n_hit, n_items, item_ids.
 
     Also returns the occurrences: row, first (word of the document), size, item_id.
@@ -236,7 +251,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_hit: float = 0.0, doc_i
 
     A rejected document goes with all rows that repeat its doc_id and text.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text)))
+    keyed = docs.withColumn("_key", row_key(doc_id, text))
     found, _ = contamination(keyed, items, "_key", text)
     bad = found.filter((F.col("n_hit") > 0) & (F.col("n_hit") > max_hit * F.col("n_words"))).select(F.col("doc_id").alias("_key")).distinct()
     return keyed.join(bad, "_key", "left_anti").select(*docs.columns)

@@ -13,13 +13,6 @@ columns are not looked at.
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-
-import ahocorasick
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -27,108 +20,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docjobs.llm.common import small_batches, written
+from docjobs.llm.toxicity_features import feature_rows, term_rows
 
 #: Labelled rows that may train: the bound of the sample.
 TRAIN_ROWS = 20_000
 #: Entries of the learned lexicon at most, documents that an entry needs, and its least log-likelihood ratio.
 LEXICON, LEAST_DOCS, LEAST_RATIO = 2000, 4, 25.0
-PREFIXES = (4, 5, 6, 8)
 THRESHOLD = 0.5
-#: Common insults, and words of address in the languages of the corpus.
-INSULTS = "idiot moron stupid scum trash loser pathetic worthless disgusting clown dumb imbecile bastard bitch asshole fuck shit retard whore vermin".split()
-SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes tú ti tus vosotros os".split()
-LEET = str.maketrans("013457@$", "oieastas")
-
-FEATURES = ("insults", "learned", "learned_weight", "most_weight", "hits_in_100_words", "near_you", "capitals", "capital_words", "exclamations", "questions", "punctuation", "digits", "leet_hits", "spaced_hits", "mixed_words", "log_words")
-
-_LETTERS = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\w)\w(?:[.*_\- ]\w){3,}(?!\w)")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$*]+[^\W\d_]+")
-_CAPS = re.compile(r"(?<![^\W\d_])[A-Z]{3,}(?![^\W\d_])")
-_YOU = re.compile(r"(?<!\w)(?:" + "|".join(SECOND_PERSON) + r")(?!\w)")
-
-
-class Lexicon:
-    """Finds words that begin with an entry; an entry of a list of whole words also ends with the word."""
-
-    def __init__(self, learned: dict[str, float]):
-        self.auto = ahocorasick.Automaton()
-        for w in INSULTS:
-            self.auto.add_word(w, (w, 1, learned.get(w, 0.0)))
-        for w, weight in learned.items():
-            if w not in INSULTS:
-                self.auto.add_word(w, (w, 0, weight))
-        self.auto.make_automaton()
-
-    def hits(self, low: str) -> list[tuple[int, int, float]]:
-        """(start, 1 if a fixed insult, weight) of each word hit; the entry of the largest weight speaks."""
-        found: dict[int, tuple[int, float]] = {}
-        for end, (w, fixed, weight) in self.auto.iter(low):
-            start = end - len(w) + 1
-            if start and low[start - 1].isalpha():
-                continue
-            if fixed and end + 1 < len(low) and low[end + 1].isalpha() and not weight:
-                continue
-            old = found.get(start, (0, 0.0))
-            found[start] = (max(old[0], fixed), max(old[1], weight))
-        return [(a, *x) for a, x in sorted(found.items())]
-
-
-def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """The dense features of one whole text, in the order of FEATURES."""
-    text = text or ""
-    low, n = text.lower(), max(1, len(text))
-    words = max(1, text.count(" ") + text.count("\n") + (1 if text else 0))
-    hits = lexicon.hits(low)
-    near = sum(1 for a, _, _ in hits if _YOU.search(low, max(0, a - 40), min(len(low), a + 60)))
-    best, left = 0, 0
-    for k, (a, _, _) in enumerate(hits):
-        while a - hits[left][0] > 600:
-            left += 1
-        best = max(best, k - left + 1)
-    seen = {a for a, _, _ in hits}
-    plain = low.translate(LEET)
-    leet = 0 if plain == low else sum(1 for a, _, _ in lexicon.hits(plain) if a not in seen)
-    spaced = sum(1 for m in _SPACED.finditer(low) if lexicon.hits(re.sub(r"[.*_\- ]", "", m[0])))
-    count = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
-    letters, capitals = count[65:91].sum() + count[97:123].sum(), count[65:91].sum()
-    marks = count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum()
-    weights = [w for _, _, w in hits]
-    return [
-        sum(f for _, f, _ in hits) / words,
-        sum(1 for w in weights if w > 0) / words,
-        sum(weights) / words,
-        max(weights, default=0.0),
-        float(best),
-        near / words,
-        float(capitals / max(1, letters)),
-        len(_CAPS.findall(text)) / words,
-        float(count[33] / n),
-        float(count[63] / n),
-        float(marks / n),
-        float(count[48:58].sum() / n),
-        leet / words,
-        float(spaced),
-        len(_MIXED.findall(text)) / words,
-        math.log(words),
-    ]
-
-
-def _feature_rows(learned: dict[str, float]):
-    def rows(batches):
-        lexicon = Lexicon(learned)
-        for batch in batches:
-            x = [features(t, lexicon) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != "text"]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(x, pa.list_(pa.float64()))], names=[k for k, _ in kept] + ["x"])
-
-    return rows
 
 
 def featured(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
     """docs with x (the features) in place of text."""
     shape = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return docs.mapInArrow(_feature_rows(learned), f"{shape}, x array<double>")
+    return docs.mapInArrow(feature_rows(learned), f"{shape}, x array<double>")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -144,22 +48,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by `rows`
 
 
-def _term_rows(batches):
-    """Documents of either label that hold a word beginning, counted per task."""
-    count: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = set(_LETTERS.findall((text or "").lower()))
-            terms = {w[:k] for w in words for k in PREFIXES if len(w) >= k}
-            count[int(y > 0)].update(terms)
-            count[int(y > 0)][""] += 1
-    terms = list(count[0].keys() | count[1].keys())
-    yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "neg": pa.array([count[0][t] for t in terms], pa.int64()), "pos": pa.array([count[1][t] for t in terms], pa.int64())})
-
-
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
     """Word beginnings that mark toxic documents, with their log odds; at most LEXICON of them."""
-    terms = train.select("text", "y").mapInArrow(_term_rows, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    terms = train.select("text", "y").mapInArrow(term_rows, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     total = train.agg(F.sum((F.col("y") > 0).cast("long")).alias("p"), F.sum((F.col("y") <= 0).cast("long")).alias("n")).first()
     p, n = float(total["p"] or 0), float(total["n"] or 0)
     if not p or not n:

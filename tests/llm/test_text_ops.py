@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from docjobs.llm import decontam, secrets, token_files, toxicity
+from docjobs.llm import decontam, secrets, token_files, toxicity, toxicity_features
 from docjobs.llm.common import shared_dir
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -167,7 +167,7 @@ def test_toxicity_without_labels(spark):
 
 
 def test_toxicity_features():
-    lex = toxicity.Lexicon({"zorg": 3.0})
-    f = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT! zorgum 1d10t i.d.i.o.t anidiot", lex)))
+    lex = toxicity_features.Lexicon({"zorg": 3.0})
+    f = dict(zip(toxicity_features.FEATURES, toxicity_features.features("You IDIOT! zorgum 1d10t i.d.i.o.t anidiot", lex)))
     assert f["insults"] > 0 and f["learned"] > 0 and f["near_you"] > 0 and f["capital_words"] > 0 and f["leet_hits"] > 0 and f["spaced_hits"] == 1 and f["exclamations"] > 0
-    assert toxicity.features(None, lex) == toxicity.features("", lex) and not any(toxicity.features("", lex))
+    assert toxicity_features.features(None, lex) == toxicity_features.features("", lex) and not any(toxicity_features.features("", lex))
