@@ -27,6 +27,8 @@ from docjobs.llm.common import shared_dir, small_batches, written
 
 #: Payloads below so many bytes are always responses.
 LEAST_SHARED = 100
+#: Bytes of the table of shared payloads up to which it is broadcast.
+MOST_BROADCAST = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 _RECORD = "record_id string, type string, uri string, date string, concurrent_to string, refers_to string, declared_digest string, fields map<string,string>, payload_bytes long, payload_digest string"
 
@@ -78,9 +80,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     size = F.octet_length("payload")
     own = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")
-    first = rows.filter(size >= LEAST_SHARED).select("digest", own.alias("own")).groupBy("digest").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.lit(True).alias("shared"))
+    shared = rows.filter(size >= LEAST_SHARED).select("digest", own.alias("own")).groupBy("digest").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.lit(True).alias("shared"))
+    first = written(shared, "shared-payloads")
     # only equal page ids make a row the response, so rows that repeat the smallest id stay responses
-    joined = rows.select("page_id", "url", "payload", "digest").join(F.broadcast(first) if first_is_small(first) else first, "digest", "left")
+    joined = rows.select("page_id", "url", "payload", "digest").join(F.broadcast(first) if is_small(first) else first, "digest", "left")
     revisit = F.col("shared") & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     ready = joined.select("page_id", "url", "payload", "digest", _key(F.col("page_id"), F.col("url"), F.col("digest")).alias("key"), F.when(revisit, F.col("first_url")).alias("first"), F.when(revisit, _key(F.col("first_id"), F.col("first_url"), F.col("digest"))).alias("first_key"))
 
@@ -103,9 +106,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     return sorted(r["name"] for r in ready.mapInArrow(archive, "name string").collect())
 
 
-def first_is_small(first: DataFrame, most: int = 50_000) -> bool:
-    """Whether the table of shared payloads is small enough to send to every executor (about 10 MB); else it is joined."""
-    return first.limit(most + 1).count() <= most
+def is_small(first: DataFrame) -> bool:
+    """Whether the table of shared payloads has few enough bytes to be sent to every executor; else it is joined."""
+    size = F.coalesce(F.octet_length("first_url"), F.lit(0)) + 120
+    return (first.agg(F.sum(size)).first()[0] or 0) <= MOST_BROADCAST
 
 
 def parse(stream, with_payload: bool):
