@@ -46,6 +46,18 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(F.col(text)))
 
 
+def one_of_each(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The row of docs with the smallest id (null last, then by key) of each root; rows (id, key, root) has one row for each of docs."""
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key"))
+    least = rows.groupBy("root").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("first.key").alias("stays"))
+    dropped = rows.join(least, "root").filter("key <> stays").select(F.col("key").alias("_key"))
+    kept = docs.withColumn("_key", row_key(doc_id, text)).join(dropped, "_key", "left_anti")
+    again = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_key")), "repeated")
+    if not again.isEmpty():  # rows that are alike in id and text
+        kept = kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)
+
+
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bounds the bytes of an Arrow batch, since the rows here are whole documents."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -17,7 +17,8 @@ classes are connected components of links. The work is on distinct fingerprints:
 
 Defined results: null and empty texts, and texts of white space, have fingerprint zero and are linked like any other;
 texts of fewer words than a shingle have one shingle; rows that repeat are evaluated each; a null doc_id is never the
-smallest of a component unless all are null, and ``near_dedup`` leaves such rows; empty tables give empty results.
+smallest of a component unless all are null; ``near_dedup`` keeps exactly one row of each component, of equal ids one by
+a hash of the text; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import row_key, small_batches, written
+from docjobs.llm.common import one_of_each, row_key, small_batches, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that one key may bring together before it is dealt again by other bits.
@@ -304,23 +305,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS, hot: int = HOT_KEY) -> DataFrame:
-    """doc_id, key, fp, component_id (the smallest doc_id reachable by links) for each row of docs."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, k: int, radius: int, hot: int) -> DataFrame:
+    """doc_id, key, fp, root (the smallest fingerprint of the component) and component_id for each row of docs."""
     rows = written(fingerprints(docs, doc_id, text, k), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     found = written(components(links(nodes, radius, hot)), "components")
     joined = nodes.join(found, nodes["fp"] == found["node"], "left").filter("n > 1 or root is not null").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    shared = joined.join(least, "root").select("fp", "component_id", F.lit(True).alias("shared"))
-    return rows.join(shared, "fp", "left").select("doc_id", "key", "fp", F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    shared = joined.join(least, "root").select("fp", "root", "component_id", F.lit(True).alias("shared"))
+    return rows.join(shared, "fp", "left").select("doc_id", "key", "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS, hot: int = HOT_KEY) -> DataFrame:
+    """doc_id, key, fp, component_id (the smallest doc_id reachable by links) for each row of docs."""
+    return _grouped(docs, doc_id, text, k, radius, hot).drop("root")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays, that with the smallest id; the columns of docs."""
-    found = classes(docs, doc_id, text, k, radius)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("key").alias("_key"))
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    return keyed.join(dropped, "_key", "left_anti").select(*docs.columns)
+    """One row of each component stays, that with the smallest id; the columns of docs."""
+    rows = _grouped(docs, doc_id, text, k, radius, HOT_KEY).select(F.col("doc_id").alias("id"), "key", "root")
+    return one_of_each(docs, rows, doc_id, text)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

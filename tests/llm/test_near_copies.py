@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docjobs.llm import near_copies
+from docjobs.llm import near_copies, simhash
 
 SHAPE = "doc_id long, text string, lang string"
 
@@ -91,3 +91,12 @@ def test_prefixes_of_similar_sets_meet():
             both = len(np.intersect1d(sets[i], sets[j]))
             if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
                 assert first[i] & first[j]
+
+
+@pytest.mark.parametrize("dedup", [simhash.near_dedup, near_copies.near_dedup])
+def test_one_row_of_each_group_stays(spark, dedup):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(7, a), (7, a.upper()), (7, a.replace(" ", "  ")), (9, a), (None, b), (None, b.upper()), (None, a), (3, c), (3, c), (3, b[:70])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], SHAPE).repartition(3)
+    left = dedup(docs).collect()
+    assert sorted((str(r.doc_id), r.text.lower().split()[0], len(r.text) == 70) for r in left) == [("3", "b0", True), ("3", "c0", False), ("7", "a0", False), ("None", "b0", False)]
