@@ -4,8 +4,8 @@ Every page is read into elements (tolerating unclosed and misnested tags). All p
 style tree: a node is an element's path of tags, classes and ids, and keeps the presentations (sequences of child tags)
 and contents that it has on the host's different pages. A node's importance grows from the entropy of both: a branch
 that looks and reads alike on most pages is furniture. Elements that HTML or their class names declare to be furniture
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) have importance zero, and the declared main
-content (article, main) and all above it have importance one. Branches of low importance are removed from each page;
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) have importance zero, and the outermost
+declared main content (article, main) and all above it have importance one; inside it entropy decides again. Branches of low importance are removed from each page;
 what is left of the main content, or of the body where none is declared, is the text.
 
 The tree's statistics are aggregated by host, path and content, with partial sums in the scan, so a host with a third
@@ -178,8 +178,8 @@ def read_page(html: str):
         above = parent.path if len(parent.path) < 400 else f"~{_hash(parent.path)}"
         e = Element(tag, f"{above}/{label}", parent, furniture or parent.furniture, (main or parent.main) and not (furniture or parent.furniture))
         parent.children.append(tag)
-        if e.main:
-            up = parent
+        if e.main and not parent.main:  # inside it entropy decides
+            up = e
             while up is not None and not up.holds_main:
                 up.holds_main = True
                 up = up.parent

@@ -116,6 +116,15 @@ def test_style_tree(spark):
     assert html_extract.extract(df.filter("false")).count() == 0
 
 
+def test_repeated_box_inside_articles(spark):
+    body = "<body><{0}><h1>Head {1}</h1><div class='box9'><p>Follow us everywhere</p></div><div class='story'><p>story number {1}</p></div></{2}></body>"
+    kinds = [("article", "article"), ("div role=main", "div"), ("main><section class=x", "section></main")]
+    rows = [(100 * k + i, f"http://s{k}.example/{i}", body.format(a, i, b)) for k, (a, b) in enumerate(kinds) for i in range(12)]
+    rows += [(900 + i, "http://same.example/", f"<div role=main><p>one text</p></div><p>{i}</p>") for i in range(12)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: "one text" if i >= 900 else f"Head {i % 100}\nstory number {i % 100}" for i, _, _ in rows}
+
+
 def test_url_filter(spark):
     rnd = random.Random(3)
     day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
