@@ -1,13 +1,14 @@
 """Packing: optimal length buckets.
 
-The global histogram of lengths goes to dynamic programming, which chooses the bucket boundaries that minimise padding
-exactly; then token-budget batches form inside each bucket: a bucket of width w holds max(1, budget // w) documents a
+The global histogram of lengths goes to dynamic programming, which chooses the bucket boundaries that minimise padding,
+exactly below ``EXACT`` words and within one bin's width a document above; then token-budget batches form inside each bucket: a bucket of width w holds max(1, budget // w) documents a
 batch. Batches are numbered over a whole bucket, in an order drawn from the document ids: the rows are dealt by bucket
 and stretch of that order, ranked there, and the stretches' bases are prefix sums of their counts, so no bucket meets
 in one task and at most one batch of a bucket is not full.
 
 The histogram has one bin for each length below ``EXACT`` and 1024 for each doubling above, so it has a few ten
-thousand rows at most; boundaries are the largest lengths of bins, and each document counts with its own length.
+thousand rows at most; boundaries are the largest lengths of bins, so an optimum
+inside a bin above ``EXACT`` is missed, and each document counts with its own length.
 
 Defined results: null, empty and white texts have length 1 (they hold the end of their document); documents longer
 than the budget are batches of their own; repeated rows are packed each; rows of equal ids are ordered by length; an
