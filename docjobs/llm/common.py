@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: the shared folder, written tables and batch sizes."""
+"""What the operators of this subpackage share: the shared folder, written tables, row keys and batch sizes."""
 
 from __future__ import annotations
 
@@ -11,34 +11,70 @@ from pyspark.sql import functions as F
 #: The two ASCII white-space classes that the operators name: what separates words, and what may be deleted.
 SPACES = " \t\n\x0b\x0c\r"
 
+_made: list[str] = []
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark would read it on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder (URI) below the folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary
-    folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder takes its place if Spark
+    runs in this process alone; on a cluster it is an error, as executors would write where others can't read.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="docjobs-")
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="docjobs-")
+        spark.sparkContext.setCheckpointDir("file://" + base)
         base = "file://" + base
-    return f"{base.rstrip('/')}/docjobs-{name}-{uuid.uuid4().hex}"
+    folder = f"{_qualified(spark, base).rstrip('/')}/docjobs-{name}-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if folder in _made:
+        _made.remove(folder)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes all that this process has written into the shared folder; call it when the results have been stored."""
+    for folder in list(_made):
+        drop_folder(spark, folder)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written``, and the folder, for tables that are dropped before the end."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet into the shared folder and read back.
 
     Cuts the lineage: a lost executor costs no recomputation of what stands before it, and a table that is used more
-    than once is computed once.
+    than once is computed once. Spark knows the size of what it reads back, and sends it to all executors in a join
+    only below ``spark.sql.autoBroadcastJoinThreshold``.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)[0]
+
+
+def columns(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of df, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in but]
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -46,20 +82,29 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(F.col(text)))
 
 
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """key (``row_key``) and doc (a struct of the row), so that no name of the user's can clash with the operator's."""
+    return docs.select(row_key(doc_id, text).alias("key"), F.struct(*columns(docs)).alias("doc"))
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is not among those dropped: few, narrow, and written first, so texts move only if they are many."""
+    return rows.join(written(dropped.select("key").distinct(), "dropped"), "key", "left_anti")
+
+
 def one_of_each(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The row of docs with the smallest id (null last, then by key) of each root; rows (id, key, root) has one row for each of docs."""
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key"))
     least = rows.groupBy("root").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("first.key").alias("stays"))
-    dropped = rows.join(least, "root").filter("key <> stays").select(F.col("key").alias("_key"))
-    kept = docs.withColumn("_key", row_key(doc_id, text)).join(dropped, "_key", "left_anti")
-    again = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_key")), "repeated")
+    kept = without(keyed(docs, doc_id, text), rows.join(least, "root").filter("key <> stays"))
+    again = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated")
     if not again.isEmpty():  # rows that are alike in id and text
-        kept = kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
-    return kept.select(*docs.columns)
+        kept = kept.join(again, "key", "left_anti").unionByName(kept.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select("doc.*")
 
 
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Bounds the bytes of an Arrow batch, since the rows here are whole documents."""
+    """Bounds the bytes of the session's Arrow batches from here on, since the rows here are whole documents."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > size:
         spark.conf.set(key, str(size))

@@ -66,6 +66,30 @@ def test_trie_spills_by_subtree(limit):
     assert len(found) == len(want) and dict(found) == want
 
 
+def test_trie_memory_with_long_shared_prefixes():
+    keys = [b"a" * 50 + b"%d" % (i * i) for i in range(2000)] + [b"b" * 100_000 + x for x in (b"", b"x", b"y")]
+    trie = exact_dedup.SpillingTrie(lambda a, b: a + b, 10_000)
+    for k in keys * 2:
+        trie.insert(k, 1)
+    assert sorted(trie.items()) == sorted((k, 2) for k in keys)
+    assert trie.spills > 100 and trie.peak < 10_000 + 100_000 + 2 * exact_dedup.NODE_BYTES
+
+
+def test_owners_that_spill_and_ids_of_text(spark):
+    rows = [(f"d{i:04}", t) for i, t in enumerate(texts())]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in rows], "doc_id string, text string, row int, number int, rest int, body int, `a.b` int").repartition(5)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(norm(t), []).append((-len(t or ""), i))
+    want = sorted((i, min(groups[norm(t)])[1], len(groups[norm(t)]), t) for i, t in rows)
+    for memory in (2_000, 1 << 24):
+        out = exact_dedup.assign_owners(df, memory=memory)
+        assert out.columns == [*df.columns, "keep_id", "group_size", "kept", "text_sha256"]
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.text) for r in out.collect()) == want
+        kept = exact_dedup.drop_duplicates(df, memory=memory)
+        assert kept.schema == df.schema and sorted(r.doc_id for r in kept.collect()) == sorted(min(g)[1] for g in groups.values())
+
+
 def plain_fingerprint(t):
     import re
 
