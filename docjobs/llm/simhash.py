@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import one_of_each, row_key, small_batches, written
+from docjobs.llm.common import drop_folder, one_of_each, row_key, small_batches, stored, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that one key may bring together before it is dealt again by other bits.
@@ -43,19 +43,20 @@ ROW_COST, PAIR_COST = 3.0, 0.02
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
-    """The SimHash of one text, unsigned: a bit is 1 if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, k: int = SHINGLE) -> list[int]:
+    """XXH64 of each word shingle of one text, repeats included; a text without words has none."""
     words = (text or "").encode().translate(_LOWER).split()  # on the six ASCII white-space characters
-    if not words:
-        return 0
     line, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= k:
-        hashes = [h(line, SEED)]
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        first = end - size
-        hashes = [h(line[a:b], SEED) for a, b in zip(first[: 1 - k].tolist(), end[k - 1 :].tolist())]
+        return [h(line, SEED)] if words else []
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    first = end - size
+    return [h(line[a:b], SEED) for a, b in zip(first[: 1 - k].tolist(), end[k - 1 :].tolist())]
+
+
+def majority(hashes) -> int:
+    """The SimHash of hashes, unsigned: a bit is 1 if it is set in over half of them."""
     bits = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 1 << 16):
         raw = np.array(hashes[part : part + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
@@ -63,6 +64,11 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    """The SimHash of one text; zero without words."""
+    return majority(shingle_hashes(text, k))
+
+
 def _fingerprint_rows(k: int, batches):
     for batch in batches:
         fps = np.array([fingerprint(t, k) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
@@ -290,14 +296,16 @@ def components(edges: DataFrame) -> DataFrame:
         r = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return tuple(r)
 
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    edges, folder = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = star(large)
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        old = folder
+        edges, folder = stored(small.filter("u <> v").distinct(), "edges")
+        drop_folder(edges.sparkSession, old)
         after = mark(edges)
         if after == before:
             break
