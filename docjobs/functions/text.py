@@ -19,8 +19,8 @@ def strip(text: Column) -> Column:
 
 
 def first_match(text: Column, pattern: str, group: int) -> Column:
-    """The group of the first match, or null."""
-    return F.nullif(F.regexp_extract(text, f"(?U){pattern}", group), F.lit(""))
+    """The group of the first match, or null. The first match takes the rest of the text with it, so it is the only one; it is sought once."""
+    return F.get(F.regexp_extract_all(text, F.lit(rf"(?U)(?:{pattern})[\s\S]*+"), F.lit(group)), 0)
 
 
 def normalize_text(text: Column) -> Column:
@@ -29,11 +29,40 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, "[^a-z0-9 ]", ""))
 
 
-def _ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio() * 100
+class Matcher:
+    """Scores many claims against one text, of which the costly preparation is done once."""
+
+    def __init__(self, text: str):
+        self.text, self.matcher = text, difflib.SequenceMatcher(None, "", text)
+
+    def score(self, claim: str) -> float:
+        self.matcher.set_seq1(claim)
+        return self.matcher.ratio() * 100
 
 
 @F.pandas_udf(T.DoubleType())
 def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two texts, 0 to 100; null where either is null. The only per-row Python of the text functions."""
-    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Similarity of two texts, 0 to 100; null where either is null. Rows that follow one another with one text share its preparation."""
+    matcher, out = None, []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        if matcher is None or matcher.text != y:
+            matcher = Matcher(y)
+        out.append(matcher.score(x))
+    return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def fuzzy_scores(claims: pd.Series, text: pd.Series) -> pd.Series:
+    """The scores of some claims against one text; null for a null claim, and no text is prepared for nulls alone."""
+    out = []
+    for own, t in zip(claims, text):
+        matcher, scores = None, []
+        for c in own:
+            if c is not None and matcher is None:
+                matcher = Matcher(t)
+            scores.append(None if c is None else matcher.score(c))
+        out.append(scores)
+    return pd.Series(out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +36,26 @@ def classify_doc_type(upper: Column) -> Column:
     return F.when(upper.rlike("|".join(SHIFT_WORDS)), "shift_report").when(upper.rlike("|".join(LOTTERY_WORDS)), "lottery_report").otherwise("invoice")
 
 
+def _any(upper: Column, *words: str) -> Column:
+    """Whether the text holds a word without which no pattern matches: found much sooner than that none does."""
+    return functools.reduce(Column.__or__, (upper.contains(w) for w in words))
+
+
 def extract_total_amount(upper: Column) -> Column:
     """The first total, as text: commas become points, and only the last point stays."""
-    found = F.coalesce(*(first_match(upper, p, g) for p, g in TOTAL_PATTERNS))
+    found = F.when(_any(upper, "TOTAL", "DUE"), F.coalesce(*(first_match(upper, p, g) for p, g in TOTAL_PATTERNS)))
     return F.regexp_replace(F.translate(found, ",", "."), r"\.(?=.*\.)", "")
 
 
 def extract_invoice_date(upper: Column) -> Column:
-    return F.coalesce(*(first_match(upper, p, g) for p, g in DATE_PATTERNS))
+    labelled, plain = DATE_PATTERNS[:-1], DATE_PATTERNS[-1]
+    return F.coalesce(F.when(upper.contains("DATE"), F.coalesce(*(first_match(upper, p, g) for p, g in labelled))), first_match(upper, *plain))
 
 
 def extract_invoice_number(upper: Column) -> Column:
     """The first pattern's first match counts if it has a digit; else the next pattern is tried."""
-    values = (first_match(upper, p, g) for p, g in NUMBER_PATTERNS)
-    return F.coalesce(*(F.when(v.rlike("[0-9]"), v) for v in values))
+    values = (first_match(first_match(upper, p, g), "[^0-9]*[0-9].*", 0) for p, g in NUMBER_PATTERNS)
+    return F.when(_any(upper, "INV", "BILL"), F.coalesce(*values))
 
 
 def vendor_name_guess(text: Column) -> Column:
