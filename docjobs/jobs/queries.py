@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +9,7 @@ from docjobs.functions.text import normalize_text
 from docjobs.jobs import render as R
 from docjobs.operators import compliance, graph, ids, invoices, merge, pages, retrieve, store, verify
 from docjobs.sources import documents, results_log
+from docjobs.sources.shared import shared_folder
 from docjobs.streaming import jobs as streaming
 
 FLAGSHIP = "d6_merge_results"
@@ -32,12 +29,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in what the cluster shares, for queries that write and read back."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docjobs-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # B: fields of invoices and identity documents
 
 def _first(patterns) -> str:
@@ -142,6 +133,13 @@ def c1(spark, sf_dir):
     return verify.verify_entity(df).select("doc_id", "claim", "check.*")
 
 
+@query("c1_verify_entity_fuzzy")
+def c1_fuzzy(spark, sf_dir):
+    """Claims that no document holds as they stand, so that all but those without letters reach the score, on whole texts."""
+    df = R.table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') as text", "translate(substring(coalesce(text, ''), 1, 200), 'aeo', '043') as claim")
+    return verify.verify_entity(df).select("doc_id", "claim", "check.result", F.round("check.score", 9).alias("score"), "check.method")
+
+
 @query("c2_verify_clause")
 def c2(spark, sf_dir):
     df = R.table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{R.INVOICE_TEXT} as text", f"case when o_orderkey % 2 = 0 then substring({R.INVOICE_TEXT}, 9, 30) else upper({R.INVOICE_TEXT}) end as claim")
@@ -446,7 +444,7 @@ def g3(spark, sf_dir):
 
 @query("g4_load_or_create", f"WITH {_CHUNKS} SELECT doc_id, chunk_no, {_FP} AS fp FROM chunks")
 def g4(spark, sf_dir):
-    path = scratch(spark, "index")
+    path = shared_folder(spark, "index")
     retrieve.load_or_create(spark, path, _fingerprinted(spark, sf_dir).drop("text"))
     return retrieve.load_or_create(spark, path, None)
 
@@ -462,10 +460,13 @@ def g5(spark, sf_dir):
     return out.select("doc_id", "chunk_no", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 
-def _hits(spark, sf_dir) -> DataFrame:
+def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     vectors = R.table(spark, sf_dir, "embeddings")
-    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieve.similarity_topk(queries, vectors, 5)
+    return vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    return retrieve.similarity_topk(*_asked(spark, sf_dir), 5)
 
 
 _TOPK = """
@@ -480,6 +481,18 @@ def g6(spark, sf_dir):
     return _hits(spark, sf_dir).select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
 
 
+@query("g6_similarity_score_threshold", _TOPK + "SELECT query_id, vec_id, round(dist, 6) AS dist, rank::INT AS rank FROM h WHERE 1 - dist / sqrt(2.0) >= 0.2")
+def g6_threshold(spark, sf_dir):
+    out = retrieve.retrieve(*_asked(spark, sf_dir), "similarity_score_threshold", score_threshold=0.2)
+    return out.select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
+
+
+@query("g6_mmr")
+def g6_mmr(spark, sf_dir):
+    out = retrieve.retrieve(*_asked(spark, sf_dir), "mmr", k=4)
+    return out.select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
+
+
 @query("g7_assemble_context", _TOPK + "SELECT query_id, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY rank)) AS digest FROM h JOIN documents ON vec_id = doc_id GROUP BY query_id")
 def g7(spark, sf_dir):
     texts = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
@@ -556,7 +569,7 @@ def _log(spark, sf_dir) -> DataFrame:
 
 
 def _read_log(spark, sf_dir) -> DataFrame:
-    path = scratch(spark, "results")
+    path = shared_folder(spark, "results")
     results_log.write_results_log(_log(spark, sf_dir), path)
     lines = spark.read.schema(results_log.LOG_RECORD).json(path)  # what was written has a record a line
     return lines.select("metadata.filename", "metadata.model", "metadata.duration_seconds", "metadata.confidence_score", F.col("extraction.invoice_details.number").alias("number"), F.regexp_extract(F.col("_metadata.file_path"), r"/model=([^/]+)/", 1).alias("model_dir"))
@@ -568,7 +581,7 @@ query("a2_write_results_log", _LOG)(_read_log)
 @query("a1_read_results_log", "SELECT o_orderpriority AS model, o_orderpriority AS model_dir, count(*) AS n, round(sum(round(o_totalprice, 4)), 2) AS seconds FROM orders GROUP BY 1")
 def a1(spark, sf_dir):
     """Pretty-printed files as an extraction service leaves them, each with the records of some consecutive orders."""
-    path = scratch(spark, "printed")
+    path = shared_folder(spark, "printed")
     record = F.concat(F.lit('{\n  "metadata": {\n    "filename": "f'), F.col("o_orderkey").cast("string"), F.lit('",\n    "model": "'), "o_orderpriority", F.lit('",\n    "duration_seconds": '), F.round("o_totalprice", 4).cast("decimal(18,4)").cast("string"), F.lit("\n  }\n}"))
     few = R.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("model"), F.floor(F.col("o_orderkey") / 2048)).agg(F.array_join(F.collect_list(record), ",\n").alias("r"))
     few.select("model", F.concat(F.lit("[\n"), "r", F.lit("\n]")).alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("model").text(path)
@@ -579,7 +592,7 @@ def a1(spark, sf_dir):
 @query("a3_read_text_documents", f"SELECT count(*) AS files, sum(chars)::BIGINT AS chars FROM (SELECT sum(length({R.INVOICE_TEXT})) AS chars FROM orders GROUP BY floor(o_orderkey / 512))")
 def a3(spark, sf_dir):
     """Each text file holds the texts of some consecutive orders."""
-    path = scratch(spark, "texts")
+    path = shared_folder(spark, "texts")
     few = R.invoice_texts(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 512).alias("part")).agg(F.array_join(F.collect_list("text"), "").alias("value"))
     few.select("value").write.option("maxRecordsPerFile", 1).text(path)
     read = documents.read_text_documents(spark, f"{path}/*.txt")
@@ -615,7 +628,7 @@ def a8(spark, sf_dir):
 
 @query("a9_chunk_index", f"WITH {_CHUNKS} SELECT source AS session_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM chunks GROUP BY 1")
 def a9(spark, sf_dir):
-    path = scratch(spark, "chunks")
+    path = shared_folder(spark, "chunks")
     documents.write_chunk_index(_chunks(spark, sf_dir).select(F.col("source").alias("session_id"), "doc_id", "chunk_no", "text"), path)
     return documents.read_chunk_index(spark, path).groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -624,7 +637,7 @@ def a9(spark, sf_dir):
 
 def _drained(spark, sf_dir, source: DataFrame, build) -> DataFrame:
     """Writes source as files, streams them through build into a file sink, and reads the sink."""
-    path = scratch(spark, "stream")
+    path = shared_folder(spark, "stream")
     source.write.parquet(f"{path}/in")
     stream = build(spark.readStream.schema(source.schema).parquet(f"{path}/in"))
     stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
@@ -654,13 +667,10 @@ def i3(spark, sf_dir):
 
 @query("i3_stream_cache_upsert", f"WITH {_CACHE} SELECT user_id, id, record FROM cache")
 def i3b(spark, sf_dir):
-    path = scratch(spark, "cache")
+    path = shared_folder(spark, "cache")
     source = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     source.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
-    run = streaming.stream_cache_upsert(stream, f"{path}/cache").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run = streaming.stream_cache_upsert(stream, path).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    last = max((p["batchId"] for p in run.recentProgress), default=0)
-    while last > 0 and not retrieve.index_exists(spark, f"{path}/cache/batch={last}"):
-        last -= 1
-    return spark.read.parquet(f"{path}/cache/batch={last}").select("user_id", "id", "record")
+    return streaming.read_cache(spark, path).select("user_id", "id", "record")

@@ -7,11 +7,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as pads
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that go to the executors at once; more queries are answered in several blocks.
-QUERY_BLOCK = 4096
+from docjobs.sources.shared import folder_exists, shared_folder
+
+#: Query vectors and index vectors that a task holds at once, and the distances that it computes at once.
+QUERY_BLOCK, INDEX_CHUNK, TILE = 4096, 1 << 16, 1 << 22
 
 
 def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -42,15 +46,9 @@ def add_documents(new: DataFrame, index: DataFrame, order: list[str]) -> DataFra
     return first.join(index.select("fp"), "fp", "left_anti").select(*new.columns)
 
 
-def index_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
-
-
 def load_or_create(spark: SparkSession, path: str, chunks: DataFrame | None) -> DataFrame:
     """The index at path, written from chunks if there is none."""
-    if not index_exists(spark, path):
+    if not folder_exists(spark, path):
         if chunks is None:
             raise ValueError("there is no index and nothing to create one from")
         chunks.write.parquet(path)
@@ -68,47 +66,123 @@ def embed_chunks(df: DataFrame, fn: Callable[[list[str]], list], text: str = "te
     return df.withColumn("embedding", embed(F.col(text)))
 
 
-def _nearest(ids: list, matrix: np.ndarray, k: int):
-    """In each batch, the k nearest rows to each query; batches and tasks are merged by the window that follows."""
-    own = (matrix**2).sum(1)
+def _matrix(column) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def _nearest(folder: str, k: int):
+    """The k nearest rows of each chunk of the index to each query; the window that follows merges chunks and tasks.
+
+    Queries are read block by block from the shared folder, so no task or driver holds more than one block of them.
+    """
+
+    def blocks():
+        fs, path = pafs.FileSystem.from_uri(folder)
+        for batch in pads.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=QUERY_BLOCK, batch_readahead=1, fragment_readahead=1):
+            if batch.num_rows:
+                yield batch.column("query_id").to_numpy(), _matrix(batch.column("embedding")), batch.column("part").to_pylist()
+
+    def found(table: pa.Table):
+        table = table.sort_by("vec_id").combine_chunks()
+        ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("embedding").combine_chunks())
+        code, names = pd.factorize(table.column("part").to_pandas(), use_na_sentinel=False)
+        # of equal vectors of a part, the k smallest ids are enough
+        _, same = np.unique(np.column_stack((x, code)), axis=0, return_inverse=True)
+        order = np.lexsort((np.arange(len(x)), same.ravel()))
+        run = same.ravel()[order]
+        few = np.sort(order[np.arange(len(x)) - np.searchsorted(run, run) < k])
+        ids, x, code = ids[few], x[few], code[few]
+        known, size = {None if pd.isna(n) else n: c for c, n in enumerate(names)}, (x**2).sum(1)
+        for asked, q, parts in blocks():
+            part = np.array([known.get(p, -1) for p in parts])
+            for at in range(0, len(asked), max(1, TILE // len(x))):
+                own, p = q[at : at + max(1, TILE // len(x))], part[at : at + max(1, TILE // len(x))]
+                dist = np.maximum((own**2).sum(1)[:, None] - 2 * own @ x.T + size, 0)
+                dist[p[:, None] != code] = np.inf
+                take = min(k, len(x))
+                edge = np.partition(dist, take - 1, axis=1)[:, take - 1]
+                i, j = np.nonzero((dist <= edge[:, None] + 1e-9) & (dist < np.inf))  # ties of different vectors at the edge all go on
+                yield pa.RecordBatch.from_arrays([pa.array(asked[at + i]), pa.array(ids[j]), pa.array(((own[i] - x[j]) ** 2).sum(1))], names=["query_id", "vec_id", "dist"])
 
     def rows(batches):
+        held, n = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(1)
-            x = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            dist = np.maximum(own[:, None] - 2 * matrix @ x.T + (x**2).sum(1)[None, :], 0)
-            take = min(k, batch.num_rows)
-            edge = np.partition(dist, take - 1, axis=1)[:, take - 1]
-            q, i = np.nonzero(dist <= edge[:, None] + 1e-9)  # ties at the edge all go on
-            exact = ((matrix[q] - x[i]) ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in q], pa.int64()), batch.column(0).take(pa.array(i)), pa.array(exact)], names=["query_id", "vec_id", "dist"])
+            held.append(batch)
+            n += batch.num_rows
+            if n >= INDEX_CHUNK:
+                yield from found(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from found(pa.Table.from_batches(held))
 
     return rows
 
 
-def similarity_topk(queries: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
+def similarity_topk(queries: DataFrame, index: DataFrame, k: int = 5, within: str | None = None) -> DataFrame:
     """queries (query_id, embedding) x index (vec_id, embedding) -> query_id, vec_id, dist, rank.
 
-    Squared L2, ties by vec_id. Queries go to the executors in blocks of bounded size; each batch of the index passes on
-    its k nearest, and the shuffle carries k rows per query and batch.
+    Squared L2, ties by vec_id; with ``within``, a column of both tables (such as a session), among the rows that share it.
+    Any other condition is a filter on the index. The queries are written to the shared folder and read from there in
+    blocks by the tasks that scan the index, once; the shuffle carries k rows per query and chunk. Null embeddings find
+    nothing and are not found.
     """
     spark = queries.sparkSession
+    part = F.lit(None).cast("string") if within is None else F.col(within).cast("string")
+    narrow = lambda df, key: df.filter(F.col("embedding").isNotNull()).select(F.col(key).cast("long").alias(key), "embedding", part.alias("part"))
+    folder = shared_folder(spark, "queries")
+    narrow(queries, "query_id").write.parquet(folder)
+    near = narrow(index, "vec_id").mapInArrow(_nearest(folder, k), "query_id long, vec_id long, dist double")
     order = Window.partitionBy("query_id").orderBy(F.round("dist", 9), "vec_id")
-    n = queries.count()
-    blocks = [queries] if n <= QUERY_BLOCK else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == b) for b in range(-(-n // QUERY_BLOCK))]
-    vectors = index.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    out = None
-    for block in blocks:
-        rows = block.select(F.col("query_id").cast("long").alias("query_id"), "embedding").collect()  # one block
-        if not rows:
-            continue
-        part = vectors.mapInArrow(_nearest([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64), k), "query_id long, vec_id long, dist double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, dist double, rank int")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def relevance(dist: Column) -> Column:
+    """1 for equal vectors, falling with the squared distance."""
+    return 1 - dist / F.sqrt(F.lit(2.0))
+
+
+def _diverse(k: int, weight: float):
+    """Places of k candidates: each time the one with the best balance of nearness to the query and distance from those chosen."""
+
+    @F.pandas_udf("array<int>")
+    def choose(query: pd.Series, candidates: pd.Series) -> pd.Series:
+        out = []
+        for q, c in zip(query, candidates):
+            x = np.array(list(map(np.asarray, c)), np.float64)
+            unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-300)
+            x, near = unit(x), unit(x) @ unit(np.asarray(q, np.float64))
+            chosen, like = [int(np.argmax(near))], np.full(len(x), -np.inf)
+            while len(chosen) < min(k, len(x)):
+                like = np.maximum(like, x @ x[chosen[-1]])
+                gain = (weight * near - (1 - weight) * like).round(12)
+                gain[chosen] = -np.inf
+                chosen.append(int(np.argmax(gain)))
+            out.append(chosen)
+        return pd.Series(out)
+
+    return choose
+
+
+def retrieve(queries: DataFrame, index: DataFrame, search_type: str = "similarity", k: int = 5, score_threshold: float = 0.0, fetch_k: int = 20, lambda_mult: float = 0.5, within: str | None = None) -> DataFrame:
+    """query_id, vec_id, dist, rank by one of three kinds of search.
+
+    ``similarity``: the k nearest. ``similarity_score_threshold``: those of them whose ``relevance`` reaches the threshold.
+    ``mmr``: k of the fetch_k nearest by maximal marginal relevance, with lambda_mult the weight of nearness (by cosine);
+    rank is the order in which they were chosen.
+    """
+    if search_type == "similarity":
+        return similarity_topk(queries, index, k, within)
+    if search_type == "similarity_score_threshold":
+        return similarity_topk(queries, index, k, within).filter(relevance(F.col("dist")) >= score_threshold)
+    if search_type != "mmr":
+        raise ValueError(f"unknown search type {search_type}")
+    near = similarity_topk(queries, index, fetch_k, within)
+    vectors = index.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("asked"))
+    rows = near.join(vectors, "vec_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "dist", "embedding"))).alias("c"))  # fetch_k a query
+    chosen = rows.join(asked, "query_id").select("query_id", "c", F.posexplode(_diverse(k, lambda_mult)("asked", "c.embedding")).alias("at", "place"))
+    hit = F.get("c", F.col("place"))
+    return chosen.select("query_id", hit["vec_id"].alias("vec_id"), hit["dist"].alias("dist"), (F.col("at") + 1).alias("rank"))
 
 
 def assemble_context(hits: DataFrame, texts: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docjobs.functions.text import fuzzy_score, normalize_text
+from docjobs.functions.text import fuzzy_score, fuzzy_scores, normalize_text
 
 #: Scores from which a claim passes or is doubtful: entities, clauses.
 ENTITY_PASS, ENTITY_WARN, CLAUSE_PASS, CLAUSE_WARN = 90, 70, 85, 60
+#: Claims of one document that are checked in one row.
+TOGETHER = 64
 
 _CHECK = "struct<result:string,score:double,method:string,excerpt:string>"
 
@@ -22,6 +24,17 @@ def _graded(score: Column, passes: float, warns: float, method: str) -> Column:
     return _check(F.when(score >= passes, "pass").when(score >= warns, "warn").otherwise("fail"), score, method)
 
 
+def _decide(entity: Column, none: Column, exact: Column, normal: Column, score: Column, claim: Column) -> Column:
+    """The check of a claim; only entities can be missing or match when normalised."""
+    return (
+        F.when(entity & none, _check("missing", 0.0, "none"))
+        .when(exact, _check("pass", 100.0, "exact", claim))
+        .when(entity & normal, _check("pass", 95.0, "normalized_exact"))
+        .when(entity, _graded(score, ENTITY_PASS, ENTITY_WARN, "fuzzy"))
+        .otherwise(_graded(score, CLAUSE_PASS, CLAUSE_WARN, "semantic/fuzzy"))
+    )
+
+
 def _with_scores(df: DataFrame, claim: str, text: str, needs_score: Column) -> DataFrame:
     """Adds _score where neither comparison by built-ins has decided; other rows send nulls to Python."""
     df = df.withColumn("_ask", needs_score)
@@ -47,24 +60,30 @@ def _verify(df: DataFrame, entity: Column, claim: str, text: str) -> DataFrame:
     df = df.withColumn("_entity", entity).withColumns(_decided(F.col(claim), F.col(text)))
     entity, none, exact, normal = (F.col(c) for c in ("_entity", "_none", "_exact", "_normal"))
     df = _with_scores(df, claim, text, ~exact & ~(entity & (none | normal)))
-    check = (
-        F.when(entity & none, _check("missing", 0.0, "none"))
-        .when(exact, _check("pass", 100.0, "exact", F.col(claim)))
-        .when(entity & normal, _check("pass", 95.0, "normalized_exact"))
-        .when(entity, _graded(F.col("_score"), ENTITY_PASS, ENTITY_WARN, "fuzzy"))
-        .otherwise(_graded(F.col("_score"), CLAUSE_PASS, CLAUSE_WARN, "semantic/fuzzy"))
-    )
+    check = _decide(entity, none, exact, normal, F.col("_score"), F.col(claim))
     return df.withColumn("check", check).drop("_entity", "_none", "_exact", "_normal", "_score")
 
 
 def quick_verify(checks: DataFrame, docs: DataFrame) -> DataFrame:
     """checks (doc_id, ord, id, type, value; see parse_claims) against docs (doc_id, text).
 
-    Documents are joined on doc_id; Spark broadcasts the claims where they are few and splits hot documents otherwise.
+    The claims of a document go together, ``TOGETHER`` of them at most: its text is moved, normalised and prepared for
+    scores once for them all.
     """
-    joined = checks.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), "doc_id")
-    out = _verify(joined, F.col("type") != "clause_change", "value", "_text")
-    return out.select("doc_id", "ord", "id", "type", "value", "check.*")
+    some = checks.groupBy("doc_id", F.floor(F.col("ord") / TOGETHER).alias("part")).agg(F.collect_list(F.struct("ord", "id", "type", "value")).alias("claims"))
+    joined = some.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").withColumn("normal", normalize_text(F.col("text")))
+
+    def seen(c: Column) -> Column:
+        norm = normalize_text(c["value"])
+        return F.struct(c["ord"].alias("ord"), c["id"].alias("id"), c["type"].alias("type"), c["value"].alias("value"), (c["type"] != "clause_change").alias("entity"), (norm == "").alias("none"), F.col("text").contains(c["value"]).alias("exact"), F.col("normal").contains(norm).alias("normal"))
+
+    looked = joined.select("doc_id", "text", F.transform("claims", seen).alias("claims"))
+    open_ = lambda c: ~c["exact"] & ~(c["entity"] & (c["none"] | c["normal"]))
+    asked = F.transform("claims", lambda c: F.when(open_(c), c["value"]))
+    scored = looked.withColumn("scores", fuzzy_scores(asked, F.when(F.exists("claims", open_), F.col("text"))))
+    rows = scored.select("doc_id", F.explode(F.arrays_zip("claims", "scores")).alias("x")).select("doc_id", "x.claims.*", F.col("x.scores").alias("score"))
+    check = _decide(*(F.col(c) for c in ("entity", "none", "exact", "normal", "score", "value")))
+    return rows.select("doc_id", "ord", "id", "type", "value", check.alias("check")).select("doc_id", "ord", "id", "type", "value", "check.*")
 
 
 def verification_summary(results: DataFrame, docs: DataFrame) -> DataFrame:

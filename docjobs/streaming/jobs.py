@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from docjobs.operators.invoices import extract_invoices
 from docjobs.operators.store import cache_upsert
+from docjobs.sources.shared import drop_folder, folder_exists
+
+CACHE = "user_id bigint, ts timestamp, id bigint, record string"
+#: Buckets of users in a cache that a stream keeps: a batch rewrites those of its users.
+BUCKETS = 64
 
 
 def stream_extract(docs: DataFrame) -> DataFrame:
@@ -27,13 +32,42 @@ def stream_dedupe(chunks: DataFrame, time: str = "ts", late: str = "10 minutes")
     return chunks.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(["fp"])
 
 
-def stream_cache_upsert(results: DataFrame, base: str) -> DataStreamWriter:
-    """Each batch writes the whole cache after it to base/batch=N, from base/batch=N-1; a repeated batch overwrites its own."""
+def read_cache(spark: SparkSession, base: str) -> DataFrame:
+    """The cache that ``stream_cache_upsert`` keeps below base."""
+    return spark.read.schema(f"{CACHE}, bucket int").parquet(f"{base}/cache").drop("bucket")
+
+
+def create_cache(rows: DataFrame, base: str, buckets: int = BUCKETS) -> None:
+    """Writes rows (user_id, ts, id, record) as the cache below base, in buckets of users."""
+    dealt = rows.withColumn("bucket", _bucket(buckets)).repartition(buckets, "bucket")
+    dealt.write.partitionBy("bucket").parquet(f"{base}/cache")
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+
+
+def upsert_batch(batch: DataFrame, n: int, base: str, initial: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Upserts the n-th batch into the cache below base, which starts from initial if there is none yet.
+
+    A batch rewrites the buckets of its users alone. What they become is staged first, as they can't be overwritten while
+    they are read; a batch that is repeated after a failure finds its stage whole, and the stage goes when the buckets
+    stand, so one version of the cache is kept.
+    """
+    spark = batch.sparkSession
+    if not folder_exists(spark, f"{base}/cache/_SUCCESS"):
+        drop_folder(spark, f"{base}/cache")
+        create_cache(spark.createDataFrame([], CACHE) if initial is None else initial.select("user_id", "ts", "id", "record"), base, buckets)
+    stage = f"{base}/stage-{n}"
+    if not folder_exists(spark, f"{stage}/_SUCCESS"):
+        touched = [r["bucket"] for r in batch.filter(F.col("user_id").isNotNull()).select(_bucket(buckets).alias("bucket")).distinct().collect()]  # one of `buckets` each
+        old = spark.read.schema(f"{CACHE}, bucket int").parquet(f"{base}/cache").filter(F.col("bucket").isin(touched))
+        cache_upsert(old, batch).withColumn("bucket", _bucket(buckets)).write.mode("overwrite").parquet(stage)
+    staged = spark.read.schema(f"{CACHE}, bucket int").parquet(stage)
+    staged.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{base}/cache")
+    drop_folder(spark, stage)
 
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        shape = "user_id bigint, ts timestamp, id bigint, record string"
-        old = spark.read.schema(shape).parquet(f"{base}/batch={n - 1}") if n else spark.createDataFrame([], shape)
-        cache_upsert(old, batch).write.mode("overwrite").parquet(f"{base}/batch={n}")
 
-    return results.writeStream.foreachBatch(write)
+def stream_cache_upsert(results: DataFrame, base: str, initial: DataFrame | None = None, buckets: int = BUCKETS) -> DataStreamWriter:
+    """A writer that runs ``upsert_batch`` on each batch; base belongs to the stream and its checkpoint."""
+    return results.writeStream.foreachBatch(lambda batch, n: upsert_batch(batch, n, base, initial, buckets))
