@@ -71,6 +71,52 @@ def test_topk_against_brute_force(spark):
         assert [got[q, k] for k in range(1, 5)] == sorted(range(300), key=lambda i: (d[i], i))[:4]
 
 
+def searched(spark, rows, kinds="vec_id long, embedding array<float>, session string"):
+    df = spark.createDataFrame(rows, kinds)
+    return df.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id"), df
+
+
+def test_topk_in_blocks_and_chunks(spark, monkeypatch):
+    """Many blocks of queries, chunks of the index and equal vectors; sessions apart."""
+    for name, size in (("QUERY_BLOCK", 3), ("INDEX_CHUNK", 40), ("TILE", 64)):
+        monkeypatch.setattr(retrieve, name, size)
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(200, 4)).round(1).astype(np.float32)
+    x[60:130] = x[3]
+    session = [["a", "b", None][i % 3] for i in range(200)]
+    rows = [(i, v.tolist(), s) for i, (v, s) in enumerate(zip(x, session))] + [(900, None, "a")]
+    asked, df = searched(spark, rows)
+    for within in (None, "session"):
+        got = {(r.query_id, r["rank"]): r.vec_id for r in retrieve.similarity_topk(asked, df.repartition(3), 4, within).collect()}
+        for q in range(20):
+            d = ((x[q].astype(float) - x.astype(float)) ** 2).sum(1).round(9)
+            near = sorted((i for i in range(200) if within is None or session[i] == session[q]), key=lambda i: (d[i], i))[:4]
+            assert [got[q, k] for k in range(1, 5)] == near
+    assert retrieve.similarity_topk(asked.filter("false"), df, 3).count() == 0 and retrieve.similarity_topk(asked, df.filter("false"), 3).count() == 0
+
+
+def test_kinds_of_search(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(120, 6)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[30:40] = x[0] + 0.001 * rnd.normal(size=(10, 6))
+    asked, df = searched(spark, [(i, v.tolist(), None) for i, v in enumerate(x)])
+    d = ((x[:20, None].astype(float) - x[None].astype(float)) ** 2).sum(-1)
+    got = retrieve.retrieve(asked, df, "similarity_score_threshold", k=5, score_threshold=0.7).collect()
+    near = {q: sorted(range(120), key=lambda i: (d[q, i], i)) for q in range(20)}
+    assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q in range(20) for i in near[q][:5] if 1 - d[q, i] / 2**0.5 >= 0.7}
+    got = {(r.query_id, r["rank"]): r.vec_id for r in retrieve.retrieve(asked, df, "mmr", k=4, fetch_k=15, lambda_mult=0.5).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for q in range(20):
+        left, chosen = near[q][:15], []
+        while len(chosen) < 4:
+            gain = {i: 0.5 * (y[q] @ y[i]) - 0.5 * max((y[i] @ y[j] for j in chosen), default=0) for i in left if i not in chosen}
+            chosen.append(max(gain, key=gain.get))
+        assert [got[q, k] for k in range(1, 5)] == chosen
+    with pytest.raises(ValueError):
+        retrieve.retrieve(asked, df, "other")
+
+
 def test_context_and_history(spark):
     hits = spark.createDataFrame([(1, 5, 2), (1, 6, 1)], "query_id long, vec_id long, rank int")
     assert retrieve.assemble_context(hits, spark.createDataFrame([(5, "b"), (6, "a")], "vec_id long, text string")).first().context == "a\n\nb"
@@ -132,3 +178,24 @@ def test_late_rows_are_dropped(spark, tmp_path):
     q.awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {str(r.window_start): r.n for r in rows}["2025-01-01 00:00:00"] == 1
+
+
+def test_cache_kept_by_batches(spark, tmp_path):
+    """An initial cache, batches that touch some buckets, a batch that is repeated, and nothing left beside the cache."""
+    base = f"file://{tmp_path}"
+    shape = "user_id bigint, ts timestamp, id bigint, record string, confidence int"
+    day = lambda n: f"2025-01-{n:02}"
+    rows = lambda *x: spark.createDataFrame([(u, d, i, r, c) for u, d, i, r, c in x], "user_id bigint, ts string, id bigint, record string, confidence int").withColumn("ts", F.col("ts").cast("timestamp"))
+    initial = rows(*((u, day(1), u, f"first {u}", 99) for u in range(10)))
+    a, b = rows((1, day(2), 11, "a", 90), (2, day(2), 12, "weak", 50), (None, day(2), 13, "x", 99)), rows((1, day(1), 5, "late", 90), (70, day(3), 14, "new", 90))
+    streaming.upsert_batch(a, 0, base, initial, 4)
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    streaming.upsert_batch(b, 1, base, initial, 4)
+    want = {**{u: f"first {u}" for u in range(10)}, 1: "a", 70: "new"}
+    assert {r.user_id: r.record for r in streaming.read_cache(spark, base).collect()} == want
+    assert any(p.exists() for p in before) and not list(tmp_path.glob("stage-*"))
+    streaming.upsert_batch(b, 1, base, initial, 4)
+    assert {r.user_id: r.record for r in streaming.read_cache(spark, base).collect()} == want
+    spark.createDataFrame([], shape).write.parquet(f"{base}/stage-2")  # what a failed run has staged is what counts
+    streaming.upsert_batch(rows((3, day(9), 99, "unseen", 99)), 2, base, initial, 4)
+    assert {r.user_id: r.record for r in streaming.read_cache(spark, base).collect()} == want
