@@ -106,14 +106,14 @@ _NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({}, '')), '[\\s\\x0B\
 
 @query("b13_normalize_text", f"SELECT doc_id, md5({_NORM.format('text')}) AS digest FROM documents")
 def b13(spark, sf_dir):
-    return R.table(spark, sf_dir, "documents").select("doc_id", F.md5(normalize_text(F.col("text")).cast("binary")).alias("digest"))
+    return R.documents(spark, sf_dir).select("doc_id", F.md5(normalize_text(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("b14_fuzzy_score")
 def b14(spark, sf_dir):
     from docjobs.functions.text import fuzzy_score
 
-    parts = R.table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"upper({R.INVOICE_TEXT}) as a", f"{R.INVOICE_TEXT} as b")
+    parts = R.invoice_texts(spark, sf_dir).selectExpr("doc_id", "upper(text) as a", "text as b")
     return parts.select("doc_id", F.round(fuzzy_score("a", "b"), 9).alias("score"))
 
 
@@ -129,32 +129,35 @@ SELECT doc_id, claim, CASE WHEN nc = '' THEN 'missing' WHEN contains(nt, nc) THE
   CASE WHEN nc = '' THEN 'none' WHEN contains(text, claim) THEN 'exact' ELSE 'normalized_exact' END AS method, CASE WHEN nc <> '' AND contains(text, claim) THEN claim END AS excerpt
 FROM n""")
 def c1(spark, sf_dir):
-    df = R.table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') as text", f"coalesce({_CLAIM}, '') as claim")
+    df = R.documents(spark, sf_dir).selectExpr("doc_id", "coalesce(text, '') as text", f"coalesce({_CLAIM}, '') as claim")
     return verify.verify_entity(df).select("doc_id", "claim", "check.*")
 
 
 @query("c1_verify_entity_fuzzy")
 def c1_fuzzy(spark, sf_dir):
     """Claims that no document holds as they stand, so that all but those without letters reach the score, on whole texts."""
-    df = R.table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') as text", "translate(substring(coalesce(text, ''), 1, 200), 'aeo', '043') as claim")
+    df = R.documents(spark, sf_dir).selectExpr("doc_id", "coalesce(text, '') as text", "translate(substring(coalesce(text, ''), 1, 200), 'aeo', '043') as claim")
     return verify.verify_entity(df).select("doc_id", "claim", "check.result", F.round("check.score", 9).alias("score"), "check.method")
 
 
 @query("c2_verify_clause")
 def c2(spark, sf_dir):
-    df = R.table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{R.INVOICE_TEXT} as text", f"case when o_orderkey % 2 = 0 then substring({R.INVOICE_TEXT}, 9, 30) else upper({R.INVOICE_TEXT}) end as claim")
+    df = R.invoice_texts(spark, sf_dir).selectExpr("doc_id", "text", "case when doc_id % 2 = 0 then substring(text, 9, 30) else upper(text) end as claim")
     return verify.verify_clause(df).select("doc_id", "claim", "check.result", F.round("check.score", 9).alias("score"), "check.method")
 
 
 def _claims(spark, sf_dir, doubtful: bool) -> DataFrame:
-    """Claims as JSON: a party, an address, a clause without text, a clause that is there and, if doubtful, one that is not."""
-    df = R.table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{R.INVOICE_TEXT} as text")
+    """Claims as they come in, files of JSON: a party, an address, a clause without text, a clause that is there and, if doubtful, one that is not."""
+    df = R.invoice_texts(spark, sf_dir)
     change = lambda c: F.struct(c.alias("expected_text"), F.lit(None).cast("string").alias("clause"))
     changes = [change(F.lit("")), F.struct(F.lit(None).cast("string").alias("expected_text"), F.substring("text", 12, 10).alias("clause"))]
     if doubtful:
         changes.append(change(F.concat(F.upper("text"), F.lit(" and more"))))
     claims = F.struct(F.struct(F.substring("text", 5, 9).alias("name"), F.when(F.col("doc_id") % 2 == 0, F.upper(F.substring("text", 5, 12))).alias("address")).alias("party_a"), F.array(*changes).alias("expected_changes"), F.lit("x").alias("unknown"))
-    return df.select("doc_id", "text", F.when(F.col("doc_id") % 50 == 49, F.lit("{not json")).otherwise(F.to_json(claims)).alias("claims_json"))
+    came = df.select("doc_id", "text", F.when(F.col("doc_id") % 50 == 49, F.lit("{not json")).otherwise(F.to_json(claims)).alias("claims_json"))
+    path = shared_folder(spark, "claims")
+    came.write.parquet(path)
+    return R.spread(spark.read.schema(came.schema).parquet(path))
 
 
 _CHECKS = f"""
@@ -197,19 +200,19 @@ _RULE_SQL = "WITH r(ord, rule_id, description, phrases) AS (VALUES " + ", ".join
 
 @query("c5_check_compliance", _RULE_SQL + " SELECT * FROM c")
 def c5(spark, sf_dir):
-    return compliance.check_compliance(R.table(spark, sf_dir, "documents"), _RULES)
+    return compliance.check_compliance(R.documents(spark, sf_dir), _RULES)
 
 
 @query("c6_compliance_score", _RULE_SQL + f" SELECT doc_id, '{compliance.JURISDICTION}' AS jurisdiction, round(count(*) FILTER (status = 'pass') / {len(_RULES)} * 100, 6) AS compliance_score, string_agg(rule_id || '=' || status, ',' ORDER BY ord) AS checks FROM c GROUP BY doc_id")
 def c6(spark, sf_dir):
-    out = compliance.compliance_score(R.table(spark, sf_dir, "documents"), _RULES)
+    out = compliance.compliance_score(R.documents(spark, sf_dir), _RULES)
     return out.select("doc_id", "jurisdiction", F.round("compliance_score", 6).alias("compliance_score"), F.array_join(F.transform("checks", lambda c: F.concat_ws("=", c["rule_id"], c["status"])), ",").alias("checks"))
 
 
 @query("c7_contract_report", _RULE_SQL + f""", n AS (SELECT doc_id, {_NORM.format("substring(text, 11, 24)")} AS nc FROM documents)
 SELECT n.doc_id, 1::BIGINT AS n_checks, CASE WHEN nc = '' THEN 0.0 ELSE 100.0 END::DOUBLE AS average_score, round(count(*) FILTER (status = 'pass') / {len(_RULES)} * 100, 6) AS compliance_score FROM n JOIN c USING (doc_id) GROUP BY n.doc_id, nc""")
 def c7(spark, sf_dir):
-    docs = R.table(spark, sf_dir, "documents")
+    docs = R.documents(spark, sf_dir)
     checks = docs.select("doc_id", F.lit(0).alias("ord"), F.lit("party_a_name").alias("id"), F.lit("party_name").alias("type"), F.coalesce(F.substring("text", 11, 24), F.lit("")).alias("value"))
     summary = verify.verification_summary(verify.quick_verify(checks, docs), docs)
     out = compliance.contract_report(summary, compliance.compliance_score(docs, _RULES))
@@ -334,14 +337,14 @@ n AS (SELECT CAST(floor(doc_id / 2) AS BIGINT) AS pair_id, entity, bool_or(doc_i
 
 
 def _nodes(spark, sf_dir) -> DataFrame:
-    docs = R.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = R.documents(spark, sf_dir).select("doc_id", "text")
     pairs = docs.select(F.floor(F.col("doc_id") / 2).alias("pair_id")).distinct().select("pair_id", (F.col("pair_id") * 2).alias("doc1"), (F.col("pair_id") * 2 + 1).alias("doc2"))
     return graph.entity_nodes(pairs, docs)
 
 
 @query("e1_extract_entities", _E + "SELECT doc_id, entity FROM e")
 def e1(spark, sf_dir):
-    return graph.extract_entities(R.table(spark, sf_dir, "documents"))
+    return graph.extract_entities(R.documents(spark, sf_dir))
 
 
 query("e2_entity_nodes", _E + "SELECT * FROM n")(_nodes)
@@ -373,7 +376,7 @@ def f2(spark, sf_dir):
 SELECT CAST(floor(doc_id / 10) AS BIGINT) AS session_id, md5(string_agg('Document: ' || lang || doc_id || '.PDF' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY (lang || doc_id || '.PDF'))) AS digest FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1""")
 def f3(spark, sf_dir):
     name = F.concat("lang", F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".PDF"))
-    files = R.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("session_id"), name.alias("name"), "text")
+    files = R.documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("session_id"), name.alias("name"), "text")
     return pages.combine_documents(files).select("session_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -382,7 +385,7 @@ _SOURCED = "string_agg(chr(10) || '--- SOURCE: ' || CASE doc_id % 3 WHEN 0 THEN
 
 def _sourced(spark, sf_dir, key: str) -> DataFrame:
     kind = F.col("doc_id") % 3
-    return R.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias(key), F.col("doc_id").alias("ord"), F.when(kind == 0, F.col("source")).when(kind == 1, "").alias("source"), F.when(kind == 1, F.col("lang")).alias("file_path"), "text")
+    return R.documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias(key), F.col("doc_id").alias("ord"), F.when(kind == 0, F.col("source")).when(kind == 1, "").alias("source"), F.when(kind == 1, F.col("lang")).alias("file_path"), "text")
 
 
 @query("f4_concat_for_analysis", f"SELECT CAST(floor(doc_id / 10) AS BIGINT) AS group_id, md5({_SOURCED}) AS digest FROM documents GROUP BY 1")
@@ -413,7 +416,7 @@ _CHUNKS = "chunks AS (SELECT doc_id, source, c AS chunk_no, substring(text, c *
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
-    return retrieve.chunk_documents(R.table(spark, sf_dir, "documents"))
+    return retrieve.chunk_documents(R.documents(spark, sf_dir))
 
 
 @query("g1_chunk_documents", f"WITH {_CHUNKS} SELECT doc_id, chunk_no, text FROM chunks")
@@ -495,7 +498,7 @@ def g6_mmr(spark, sf_dir):
 
 @query("g7_assemble_context", _TOPK + "SELECT query_id, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY rank)) AS digest FROM h JOIN documents ON vec_id = doc_id GROUP BY query_id")
 def g7(spark, sf_dir):
-    texts = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    texts = R.documents(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
     return retrieve.assemble_context(_hits(spark, sf_dir), texts).select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
@@ -519,7 +522,7 @@ def g8(spark, sf_dir):
 def g9(spark, sf_dir):
     history = _history(spark, sf_dir)
     wanted = history.select("conv_id", "turn", (F.col("conv_id") * 10 + F.col("turn")).alias("doc_id"))
-    contexts = wanted.join(R.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("context")), "doc_id").drop("doc_id")
+    contexts = wanted.join(R.documents(spark, sf_dir).select("doc_id", F.col("text").alias("context")), "doc_id").drop("doc_id")
     return retrieve.chat_payloads(history, contexts).select("conv_id", "turn", "input", _said().alias("history"), F.md5(F.col("context").cast("binary")).alias("context"))
 
 

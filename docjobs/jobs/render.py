@@ -46,16 +46,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a scan anew where its files make fewer partitions than there are cores, for work that weighs on each row.
+
+    Files of a large table make more, and then nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def select_sql(columns: dict[str, str], source: str) -> str:
     return "SELECT " + ", ".join(f"{v} AS {k}" for k, v in columns.items()) + f" FROM {source}"
 
 
 def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{INVOICE_TEXT} as text")
+    return spread(table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{INVOICE_TEXT} as text"))
 
 
 def id_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", f"{ID_TEXT} as text")
+    return spread(table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", f"{ID_TEXT} as text"))
 
 
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +88,5 @@ def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents, a page per line: doc_id, page_no, text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc_id", (F.col("n") + 1).alias("page_no"), "text")
