@@ -2,56 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docjobs.sources.shared import drop_folder, shared_folder
+
 #: The two ASCII white-space classes that the operators name: what separates words, and what may be deleted.
 SPACES = " \t\n\x0b\x0c\r"
 
 _made: list[str] = []
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """The path with the scheme of the file system that Spark would read it on."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder (URI) below the folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder takes its place if Spark
-    runs in this process alone; on a cluster it is an error, as executors would write where others can't read.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="docjobs-")
-        spark.sparkContext.setCheckpointDir("file://" + base)
-        base = "file://" + base
-    folder = f"{_qualified(spark, base).rstrip('/')}/docjobs-{name}-{uuid.uuid4().hex}"
+    """A new folder (URI) below the folder that the driver and all executors share; see ``shared_folder``."""
+    folder = shared_folder(spark, name)
     _made.append(folder)
     return folder
 
 
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ``shared_dir`` that nothing reads any more."""
+    drop_folder(spark, folder)
     if folder in _made:
         _made.remove(folder)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes all that this process has written into the shared folder; call it when the results have been stored."""
-    for folder in list(_made):
-        drop_folder(spark, folder)
+def drop_written(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
+    """Deletes what this process has written into the shared folder, from its since-th folder on; call it when results have been stored."""
+    for folder in _made[since:]:
+        if folder != but:
+            drop(spark, folder)
+
+
+def n_written() -> int:
+    """How many folders this process has in the shared folder."""
+    return len(_made)
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:

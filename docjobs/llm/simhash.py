@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import drop_folder, one_of_each, row_key, small_batches, stored, written
+from docjobs.llm.common import drop, drop_written, n_written, one_of_each, row_key, small_batches, stored, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that one key may bring together before it is dealt again by other bits.
@@ -305,7 +305,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         old = folder
         edges, folder = stored(small.filter("u <> v").distinct(), "edges")
-        drop_folder(edges.sparkSession, old)
+        drop(edges.sparkSession, old)
         after = mark(edges)
         if after == before:
             break
@@ -317,7 +317,9 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, k: int, radius: int, hot:
     """doc_id, key, fp, root (the smallest fingerprint of the component) and component_id for each row of docs."""
     rows = written(fingerprints(docs, doc_id, text, k), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    found = written(components(links(nodes, radius, hot)), "components")
+    first = n_written()
+    found, folder = stored(components(links(nodes, radius, hot)), "components")
+    drop_written(docs.sparkSession, first, but=folder)
     joined = nodes.join(found, nodes["fp"] == found["node"], "left").filter("n > 1 or root is not null").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     shared = joined.join(least, "root").select("fp", "root", "component_id", F.lit(True).alias("shared"))
