@@ -11,7 +11,7 @@ are compared exactly. Occurrences become covered words per document by an ordere
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Null and empty texts have no words and are
 never hit; null or empty items give no window; repeated items and repeated documents are each evaluated; an item whose
 item_id is null is found like any other, but is not named in the list; empty tables give no hits. Further columns of
-either table are not looked at.
+either table are not looked at, and ``decontaminate`` keeps those of the documents whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import row_key, small_batches, written
+from docjobs.llm.common import keyed, row_key, small_batches, without, written
 
 WINDOW, SHINGLE = 10, 5
 #: The bit table has at least 64 bits a shingle and this many at most (16 MB); beyond, it only filters less.
@@ -139,8 +139,8 @@ def _shingles(words, n: int, first=0):
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct((i + first).alias("i"), F.array_join(F.slice(words, i + 1, n), " ").alias("shingle"))))
 
 
-def _slots(sizes: list[int], bits: int):
-    """Places in the bit table of the shingles of windows, as 64-bit hashes' upper bits."""
+def _table_rows(sizes: list[int], bits: int):
+    """64-bit pieces of the bit table with the shingles of windows set: a shingle's place is its hash's upper bits."""
 
     def rows(batches):
         for batch in batches:
@@ -150,11 +150,24 @@ def _slots(sizes: list[int], bits: int):
             for k in sizes:
                 h = w.shingles(k)
                 found.append(h[(h != 0) & (np.minimum(length[w.doc], SHINGLE) == k)])
-            yield pa.RecordBatch.from_pydict({"slot": pa.array((np.unique(np.concatenate(found)) >> np.uint64(64 - bits)).astype(np.int64), pa.int64())})
+            slot = np.concatenate(found) >> np.uint64(64 - bits)
+            piece, at = np.unique(slot >> np.uint64(6), return_inverse=True)
+            own = np.zeros(len(piece), np.uint64)
+            np.bitwise_or.at(own, at, np.uint64(1) << (slot & np.uint64(63)))
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(piece.astype(np.int64)), "bits": pa.array(own.view(np.int64))})
 
     return rows
 
 
+def _bit_table(windows: DataFrame, sizes: list[int], bits: int) -> bytes:
+    """The bit table: pieces are united on Spark, and the driver takes each of at most ``MAX_TABLE_BITS / 64`` once."""
+    rows = windows.select("window", "size").distinct().mapInArrow(_table_rows(sizes, bits), "piece long, bits long")
+    united = rows.groupBy("piece").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), "<u8")
+    table[united.column("piece").to_numpy()] = united.column("bits").to_numpy().view(np.uint64)
+    return table.tobytes()
+
+
 def _run_rows(table, bits: int, needed: dict[int, int]):
     """For each document its number of words and the runs of words that the bit table lets through."""
     shift = np.uint64(64 - bits)
@@ -198,14 +211,11 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     sizes = sorted({min(n, SHINGLE) for n in lengths}) or [SHINGLE]
     needed = {k: min([n - k + 1 for n in lengths if min(n, SHINGLE) == k], default=1) for k in sizes}
     bits = min(max(1 << 16, 64 * sum(lengths.values())), MAX_TABLE_BITS).bit_length() - 1
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    slots = windows.select("window", "size").distinct().mapInArrow(_slots(sizes, bits), "slot long").distinct()
-    for row in slots.toLocalIterator():  # a stream of bits into a table of bounded size
-        table[row["slot"] >> 3] |= 1 << (row["slot"] & 7)
+    table = _bit_table(windows, sizes, bits)
 
     kind = dict(docs.dtypes)[doc_id]
     numbered = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
-    seen = written(numbered.mapInArrow(_run_rows(spark.sparkContext.broadcast(table.tobytes()), bits, needed), f"doc_id {kind}, row long, n_words long, runs array<struct<first:int,words:string>>"), "runs")
+    seen = written(numbered.mapInArrow(_run_rows(spark.sparkContext.broadcast(table), bits, needed), f"doc_id {kind}, row long, n_words long, runs array<struct<first:int,words:string>>"), "runs")
 
     runs = seen.filter("size(runs) > 0").select("row", F.explode("runs").alias("run")).select("row", F.col("run.first").alias("first"), F.split("run.words", " ").alias("words"))
     reach = size - 1
@@ -251,10 +261,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_hit: float = 0.0, doc_i
 
     A rejected document goes with all rows that repeat its doc_id and text.
     """
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    found, _ = contamination(keyed, items, "_key", text)
-    bad = found.filter((F.col("n_hit") > 0) & (F.col("n_hit") > max_hit * F.col("n_words"))).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    found, _ = contamination(docs.select(row_key(doc_id, text).alias("key"), F.col(text).alias("text")), items, "key")
+    bad = found.filter((F.col("n_hit") > 0) & (F.col("n_hit") > max_hit * F.col("n_words"))).select(F.col("doc_id").alias("key"))
+    return without(keyed(docs, doc_id, text), bad).select("doc.*")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
