@@ -8,7 +8,7 @@ labelled rows (``TRAIN_ROWS``, chosen by a hash of the id, never a held-out row)
 Defined results: null and empty texts are scored from all-zero features; repeated rows get equal scores; labels that are
 null or have no document are not used; a document labelled more than once counts by its highest label; with no labels,
 or labels of one value, every score is that value (0 without any); an empty table gives an empty result; further
-columns are not looked at.
+columns are not looked at, and ``drop_toxic`` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from docjobs.llm.common import small_batches, written
+from docjobs.llm.common import columns, small_batches, written
 from docjobs.llm.toxicity_features import feature_rows, term_rows
 
 #: Labelled rows that may train: the bound of the sample.
@@ -27,12 +28,15 @@ TRAIN_ROWS = 20_000
 #: Entries of the learned lexicon at most, documents that an entry needs, and its least log-likelihood ratio.
 LEXICON, LEAST_DOCS, LEAST_RATIO = 2000, 4, 25.0
 THRESHOLD = 0.5
+#: The part of a score that the trees' own chance has, to order what isotonic regression makes equal.
+TIE = 1e-6
 
 
-def featured(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
-    """docs with x (the features) in place of text."""
-    shape = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return docs.mapInArrow(feature_rows(learned), f"{shape}, x array<double>")
+def featured(docs: DataFrame, learned: dict[str, float], text: str = "text", keep_text: bool = False) -> DataFrame:
+    """rest (a struct of docs' other columns), text (if kept) and x (the features), so that no name of the user's can clash."""
+    given = docs.select(F.col(text).alias("text"), F.struct(*columns(docs, text)).alias("rest"))
+    shape = [given.schema["rest"], *([given.schema["text"]] if keep_text else []), StructField("x", ArrayType(DoubleType()))]
+    return given.mapInArrow(feature_rows(learned, keep_text), StructType(shape))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -72,8 +76,8 @@ class Scorer:
         train = written(training_rows(docs, labels, rows).repartition(8), "toxicity-train")
         self.learned = learn_lexicon(train)
         x = written(featured(train, self.learned), "toxicity-features").coalesce(4).withColumn("features", array_to_vector("x"))
-        x = x.withColumn("part", F.pmod(F.xxhash64(F.concat(F.lit("part"), F.col("doc_id").cast("string"))), F.lit(10)))
-        x = x.select("features", F.col("y").alias("label"), "part").cache()
+        x = x.withColumn("part", F.pmod(F.xxhash64(F.concat(F.lit("part"), F.col("rest.doc_id").cast("string"))), F.lit(10)))
+        x = x.select("features", F.col("rest.y").alias("label"), "part").cache()
         try:
             seen = {(r["label"], r["own"]) for r in x.groupBy("label", (F.col("part") < 7).alias("own")).agg(F.count("*").alias("n")).collect()}
             self.constant = None
@@ -83,41 +87,40 @@ class Scorer:
             self.trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, minInstancesPerNode=3, seed=7, cacheNodeIds=False).fit(x.filter("part < 7"))
             fresh = self.trees.transform(x.filter("part >= 7")).select("label", vector_to_array("probability")[1].alias("p"))
             self.isotonic = IsotonicRegression(featuresCol="p", labelCol="label").fit(fresh) if len({y for y, own in seen if not own}) == 2 else None
+            self.least = 1 / (fresh.count() + 2)
         finally:
             x.unpersist()
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """docs with score in place of text; the trees' own chance, in small part, orders documents of one step."""
+    def score(self, docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+        """rest (a struct of docs' other columns), text (if kept) and score.
+
+        The score is the calibrated chance, to a millionth: so much of the trees' own chance orders documents of one
+        step. It is no surer than the rows of the calibration allow (by the rule of succession).
+        """
         if self.constant is not None:
-            return docs.drop("text").withColumn("score", F.lit(float(self.constant)))
-        x = featured(docs, self.learned).withColumn("features", array_to_vector("x"))
+            own = docs.select(F.struct(*columns(docs, text)).alias("rest"), *([F.col(text).alias("text")] if keep_text else []))
+            return own.withColumn("score", F.lit(float(self.constant)))
+        x = featured(docs, self.learned, text, keep_text).withColumn("features", array_to_vector("x"))
         out = self.trees.transform(x).withColumn("p", vector_to_array("probability")[1])
         score = F.col("p")
         if self.isotonic is not None:
             out = self.isotonic.setPredictionCol("calibrated").transform(out)
-            score = 0.95 * F.col("calibrated") + 0.05 * F.col("p")
+            score = F.least(F.lit(1 - self.least), F.greatest(F.lit(self.least), F.col("calibrated"))) + TIE * (F.col("p") - 0.5)
         score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-        return out.select(*(c for c in docs.columns if c != "text"), score.alias("score"))
+        return out.select("rest", *(["text"] if keep_text else []), score.alias("score"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text)."""
     own = docs.select("doc_id", "text")
     scored = Scorer(own, labels, rows).score(own)
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("rest.doc_id", "score").select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents with scores below the threshold; the columns of docs."""
-    kept = docs.withColumn("_text", F.col("text"))
-    clash = [c for c in docs.columns if c in ("x", "features", "rawPrediction", "probability", "prediction", "p", "calibrated", "score")]
-    for c in clash:
-        kept = kept.withColumnRenamed(c, f"_own_{c}")
-    scored = Scorer(docs.select("doc_id", "text"), labels, rows).score(kept)
-    scored = scored.filter(F.col("score") < THRESHOLD).drop("score").withColumnRenamed("_text", "text")
-    for c in clash:
-        scored = scored.withColumnRenamed(f"_own_{c}", c)
-    return scored.select(*docs.columns)
+    """The documents with scores below the threshold; the columns of docs. A text goes through Python once, with no shuffle."""
+    scored = Scorer(docs.select("doc_id", "text"), labels, rows).score(docs, keep_text=True)
+    return scored.filter(F.col("score") < THRESHOLD).select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,15 @@ _CAPS = re.compile(r"(?<![^\W\d_])[A-Z]{3,}(?![^\W\d_])")
 _YOU = re.compile(r"(?<!\w)(?:" + "|".join(SECOND_PERSON) + r")(?!\w)")
 
 
+def _table(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+_ODD, _WHITE, _BETWEEN, _UPPER = _table("0123456789@$*"), _table(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"), _table(".*_- "), _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 class Lexicon:
     """Finds words that begin with an entry; an entry of a list of whole words also ends with the word."""
 
@@ -52,8 +61,28 @@ class Lexicon:
         return [(a, *x) for a, x in sorted(found.items())]
 
 
+def _odd_tokens(raw: np.ndarray, low: bytes) -> list[str]:
+    """The tokens with a digit or sign that may stand for a letter: what obfuscation leaves of a text, mostly nothing."""
+    at = np.flatnonzero(_ODD[raw])
+    if not len(at):
+        return []
+    white = np.concatenate(([-1], np.flatnonzero(_WHITE[raw]), [len(raw)]))
+    which = np.unique(np.searchsorted(white, at))
+    return [low[a + 1 : z].decode() for a, z in zip(white[which - 1].tolist(), white[which].tolist())]
+
+
+def _may_be_spaced(low: str) -> bool:
+    """Whether a single character stands between separators three times in a row anywhere."""
+    code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sep = _BETWEEN[np.minimum(code, 255)]
+    return len(sep) > 4 and bool((sep[:-4] & sep[2:-2] & sep[4:]).any())
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """The dense features of one whole text, in the order of FEATURES."""
+    """The dense features of one whole text, in the order of FEATURES.
+
+    Expressions that read slowly run only where a look at the bytes does not exclude them.
+    """
     text = text or ""
     low, n = text.lower(), max(1, len(text))
     words = max(1, text.count(" ") + text.count("\n") + (1 if text else 0))
@@ -64,11 +93,12 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         while a - hits[left][0] > 600:
             left += 1
         best = max(best, k - left + 1)
-    seen = {a for a, _, _ in hits}
-    plain = low.translate(LEET)
-    leet = 0 if plain == low else sum(1 for a, _, _ in lexicon.hits(plain) if a not in seen)
-    spaced = sum(1 for m in _SPACED.finditer(low) if lexicon.hits(re.sub(r"[.*_\- ]", "", m[0])))
-    count = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+    small = low.encode()
+    odd = _odd_tokens(np.frombuffer(small, np.uint8), small)
+    leet = sum(len({a for a, *_ in lexicon.hits(t.translate(LEET))} - {a for a, *_ in lexicon.hits(t)}) for t in odd)
+    spaced = sum(1 for m in _SPACED.finditer(low) if lexicon.hits(re.sub(r"[.*_\- ]", "", m[0]))) if _may_be_spaced(low) else 0
+    raw = np.frombuffer(text.encode(), np.uint8)
+    count, upper = np.bincount(raw, minlength=256), _UPPER[raw]
     letters, capitals = count[65:91].sum() + count[97:123].sum(), count[65:91].sum()
     marks = count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum()
     weights = [w for _, _, w in hits]
@@ -80,25 +110,27 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         float(best),
         near / words,
         float(capitals / max(1, letters)),
-        len(_CAPS.findall(text)) / words,
+        len(_CAPS.findall(text)) / words if (upper[:-2] & upper[1:-1] & upper[2:]).any() else 0.0,
         float(count[33] / n),
         float(count[63] / n),
         float(marks / n),
         float(count[48:58].sum() / n),
         leet / words,
         float(spaced),
-        len(_MIXED.findall(text)) / words,
+        sum(len(_MIXED.findall(t)) for t in odd) / words,
         math.log(words),
     ]
 
 
-def feature_rows(learned: dict[str, float]):
+def feature_rows(learned: dict[str, float], keep_text: bool):
+    """(text, rest) -> (rest, text if kept, features)"""
+
     def rows(batches):
         lexicon = Lexicon(learned)
         for batch in batches:
-            x = [features(t, lexicon) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != "text"]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(x, pa.list_(pa.float64()))], names=[k for k, _ in kept] + ["x"])
+            x = pa.array([features(t, lexicon) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))
+            text = [batch.column(0)] if keep_text else []
+            yield pa.RecordBatch.from_arrays([batch.column(1), *text, x], names=["rest", *(["text"] if keep_text else []), "x"])
 
     return rows
 
