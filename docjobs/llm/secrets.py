@@ -4,7 +4,8 @@ Each rule's regular expression gives a Boolean query over trigrams that any matc
 indexed in shards (the batches of a task): a shard's inverted index maps the trigrams that some query names to the
 sorted places of the documents that hold them; a rule's postings are intersected and united as its query says, and only
 the documents left are searched with the expression itself. Rules without mandatory trigrams scan every document.
-The index is folded to lower case, which only adds candidates.
+Trigrams are of the bytes of UTF-8, and A to Z are folded to lower case, which only adds candidates; in queries each byte
+is written as the character of its number.
 
 Defined results: null and empty texts have no findings; repeated rows are searched each; offsets are code points of the
 whole text, ends exclusive; an empty table gives an empty result; further columns are not looked at.
@@ -83,17 +84,22 @@ def _needed(strings: frozenset) -> object:
     return _both([_both([s[i : i + 3] for i in range(len(s) - 2)], "and") for s in sorted(strings)], "or")
 
 
+def _folded(code: int) -> str:
+    """The bytes of a character as the index has them."""
+    return chr(code + 32 if 65 <= code <= 90 else code).encode("utf-8", "surrogatepass").decode("latin-1")
+
+
 def _strings(op, arg) -> frozenset | None:
-    """The few strings that a node stands for, or None."""
+    """The few strings of bytes that a node stands for, or None."""
     if op is rc.LITERAL:
-        return frozenset([chr(arg).lower()])
+        return frozenset([_folded(arg)])
     if op is rc.IN:
         out = set()
         for kind, x in arg:
             if kind is rc.LITERAL:
-                out.add(chr(x).lower())
+                out.add(_folded(x))
             elif kind is rc.RANGE and x[1] - x[0] < MOST_STRINGS:
-                out |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
+                out |= {_folded(c) for c in range(x[0], x[1] + 1)}
             else:
                 return None
         return frozenset(out) if len(out) <= 5 else None
@@ -167,7 +173,7 @@ class Shard:
 
     def __init__(self, names: list[str]):
         self.names = sorted(names)
-        codes = np.array([int.from_bytes(x.encode(), "big") for x in self.names], np.int64)
+        codes = np.array([int.from_bytes(x.encode("latin-1"), "big") for x in self.names], np.int64)
         self.number = np.full(1 << 24, -1, np.int16)
         self.number[codes] = np.arange(len(codes))
 
