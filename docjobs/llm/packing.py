@@ -1,14 +1,17 @@
 """Packing: optimal length buckets.
 
-The global histogram of lengths goes to dynamic programming, which chooses the bucket boundaries that minimise padding,
-exactly below ``EXACT`` words and within one bin's width a document above; then token-budget batches form inside each bucket: a bucket of width w holds max(1, budget // w) documents a
-batch. Batches are numbered over a whole bucket, in an order drawn from the document ids: the rows are dealt by bucket
-and stretch of that order, ranked there, and the stretches' bases are prefix sums of their counts, so no bucket meets
-in one task and at most one batch of a bucket is not full.
+The global histogram of lengths goes to dynamic programming, which chooses the bucket boundaries with the least padding;
+then token-budget batches form inside each bucket: a bucket of width w holds max(1, budget // w) documents a batch.
+Batches are numbered over a whole bucket, in an order drawn from the document ids: the rows are dealt by bucket and
+stretch of that order, ranked there, and the stretches' bases are prefix sums of their counts, so no bucket meets in one
+task and at most one batch of a bucket is not full.
 
-The histogram has one bin for each length below ``EXACT`` and 1024 for each doubling above, so it has a few ten
-thousand rows at most; boundaries are the largest lengths of bins, so an optimum
-inside a bin above ``EXACT`` is missed, and each document counts with its own length.
+The histogram has a row for each different length and no bins, so the boundaries are optimal over all documents. It is
+counted before it is shuffled, and the driver sees it alone: D different lengths take texts of D * D / 2 words together at
+least, so a trillion words have 1.5 million of them at most. The programming takes D log D steps for each bucket.
+
+A length is the number of words unless ``length`` says otherwise, such as a column of token counts; the budget is in the
+same unit.
 
 Defined results: null, empty and white texts have length 1 (they hold the end of their document); documents longer
 than the budget are batches of their own; repeated rows are packed each; rows of equal ids are ordered by length; an
@@ -24,7 +27,6 @@ from pyspark.sql import functions as F
 from docjobs.llm.common import written
 
 BUCKETS, BUDGET = 8, 16_384
-EXACT = 8192
 #: Stretches of the order: about so many rows each, and so many stretches at most.
 STRETCH, MOST_STRETCHES = 2000, 1 << 16
 
@@ -34,16 +36,12 @@ def n_words(text: str = "text") -> Column:
     return F.greatest(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
 
 
-def _bin(length: Column) -> Column:
-    octave = F.floor(F.log2(length / EXACT))
-    step = F.pow(F.lit(2.0), octave) * (EXACT / 1024)
-    return F.when(length < EXACT, length.cast("double")).otherwise(F.floor(length / step) * step)
-
-
 def histogram(lengths: DataFrame, length: str = "n") -> np.ndarray:
-    """Rows (largest length, documents, sum of lengths) of the bins, ascending."""
-    rows = lengths.groupBy(_bin(F.col(length)).alias("bin")).agg(F.max(length).alias("top"), F.count("*").alias("docs"), F.sum(length).alias("total")).collect()
-    return np.array(sorted((r["top"], r["docs"], r["total"]) for r in rows), np.int64).reshape(-1, 3)
+    """Rows (length, documents, sum of lengths) of the different lengths, ascending."""
+    table = lengths.groupBy(F.col(length).alias("n")).agg(F.count("*").alias("docs")).toArrow()
+    n, docs = (table.column(c).to_numpy() for c in ("n", "docs"))
+    order = np.argsort(n)
+    return np.stack([n, docs, n * docs], axis=1)[order]
 
 
 def boundaries(bins: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -106,17 +104,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(source: str = "documents", buckets: int = BUCKETS, budget: int = BUDGET) -> str:
-    """DuckDB SQL for the same batches (lengths below EXACT, or few above)."""
+    """DuckDB SQL for the same batches."""
     return f"""
 WITH RECURSIVE len_of AS (
   SELECT doc_id, md5(coalesce(doc_id::VARCHAR, '')) AS ord,
     greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1)::BIGINT AS n
   FROM {source}
-), grid AS (
-  SELECT *, CASE WHEN n < {EXACT} THEN n::DOUBLE ELSE floor(n / (pow(2.0, floor(log2(n / {EXACT}.0))) * {EXACT / 1024})) * (pow(2.0, floor(log2(n / {EXACT}.0))) * {EXACT / 1024}) END AS bin FROM len_of
 ), h AS (
-  SELECT row_number() OVER (ORDER BY max(n)) AS j, max(n) AS top, (sum(count(*)) OVER (ORDER BY max(n)))::BIGINT AS docs, (sum(sum(n)) OVER (ORDER BY max(n)))::BIGINT AS total
-  FROM grid GROUP BY bin
+  SELECT row_number() OVER (ORDER BY n) AS j, n AS top, (sum(count(*)) OVER (ORDER BY n))::BIGINT AS docs, (sum(sum(n)) OVER (ORDER BY n))::BIGINT AS total
+  FROM len_of GROUP BY n
 ), h0 AS (SELECT 0 AS j, 0 AS docs, 0 AS total UNION ALL SELECT j, docs, total FROM h),
 w AS (SELECT h0.j AS i, h.j, h.top * (h.docs - h0.docs) - (h.total - h0.total) AS cost FROM h JOIN h0 ON h0.j < h.j),
 dp AS (
