@@ -1,9 +1,13 @@
 """URL filters: temporal list join.
 
-Dated list entries (an entry adds a pattern to a list or removes it) become validity intervals. Each capture asks for
-all its domain suffixes and path prefixes by equi-join, as of its fetch time; the most specific active entry decides
-(longer pattern, then a path prefix before a domain, then an allow list before a block list). Functions of DataFrames
-and SQL only.
+Dated list entries (an entry adds a pattern to a list or removes it) become validity intervals: a row for each list and
+pattern holds the changes of its state in order of time, ``CHANGES`` of them at most, and covers the time from its first
+change to the next row's. Each capture asks for all its domain suffixes and path prefixes by equi-join; the as-of part is a
+binary search for its fetch time in the row, so the join makes a row for each list that names a pattern, not for each of
+its intervals. The most specific active entry decides (longer pattern, then a path prefix before a domain, then an
+allow list before a block list). Functions of DataFrames and SQL only.
+
+Folders deeper or shallower than all entries' can't match, so a long path is asked only at the depths that entries have.
 
 Defined results: an entry that is added and removed at the same instant is removed; a repeated entry counts once; entries
 without a date, pattern or list are left out; hosts compare in lower case without a final dot; a capture without a
@@ -17,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ADDED = ("host", "n_active", "decided_by", "decided_list", "blocked")
+#: Changes of one pattern on one list that a row holds at most; a power of two. More make more rows.
+CHANGES = 1024
 
 
 def host_of(url: str = "url") -> Column:
@@ -28,34 +34,57 @@ def path_of(url: str = "url") -> Column:
     return F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
 
 
+def _states(entries: DataFrame) -> DataFrame:
+    """list, kind, pattern, dated, allow, active: the state of a pattern on a list from each instant with an entry on."""
+    known = entries.filter("list is not null and pattern is not null and dated is not null and action in ('add', 'remove')")
+    return known.groupBy("list", "kind", "pattern", "dated").agg(F.bool_or("allow").alias("allow"), (~F.bool_or(F.col("action") == "remove")).alias("active"))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, allow, kind, pattern, action, dated) -> (list, allow, kind, pattern, valid_from, valid_to); the end is open."""
-    known = entries.filter("list is not null and pattern is not null and dated is not null and action in ('add', 'remove')")
-    change = known.groupBy("list", "kind", "pattern", "dated").agg(F.bool_or("allow").alias("allow"), (~F.bool_or(F.col("action") == "remove")).alias("active"))
     by_entry = Window.partitionBy("list", "kind", "pattern").orderBy("dated")
-    return change.withColumn("valid_to", F.lead("dated").over(by_entry)).filter("active").select("list", "allow", "kind", "pattern", F.col("dated").alias("valid_from"), "valid_to")
+    return _states(entries).withColumn("valid_to", F.lead("dated").over(by_entry)).filter("active").select("list", "allow", "kind", "pattern", F.col("dated").alias("valid_from"), "valid_to")
+
+
+def histories(entries: DataFrame, changes: int = CHANGES) -> DataFrame:
+    """list, kind, pattern, since, until (null: open), times (ascending), states (allow, active): the intervals of a pattern, in rows of bounded size."""
+    by_entry = Window.partitionBy("list", "kind", "pattern").orderBy("dated")
+    placed = _states(entries).withColumns({"part": F.floor((F.row_number().over(by_entry) - 1) / changes), "next": F.lead("dated").over(by_entry)})
+    rows = placed.groupBy("list", "kind", "pattern", "part").agg(F.array_sort(F.collect_list(F.struct("dated", "allow", "active"))).alias("x"), F.max(F.struct("dated", "next"))["next"].alias("until"))
+    return rows.select("list", "kind", "pattern", F.col("x")[0]["dated"].alias("since"), "until", F.col("x.dated").alias("times"), F.transform("x", lambda x: F.struct(x["allow"].alias("allow"), x["active"].alias("active"))).alias("states"))
+
+
+def as_of(times: Column, at: Column, changes: int = CHANGES) -> Column:
+    """The place of the last of the ascending times that is not after at, by binary search; times[0] must not be after it."""
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(changes.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda place, step: F.when(F.get(times, place + step) <= at, place + step).otherwise(place))
 
 
-def questions(host: Column, path: Column) -> Column:
-    """The patterns that may decide a capture: its domain and all parents, its path and all folders above."""
+def questions(host: Column, path: Column, depths: list[int]) -> Column:
+    """The patterns that may decide a capture: its domain and all parents, its path and the folders above of these depths."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("pattern")))
+    asked = F.filter(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>"), lambda i: i <= F.size(parts))
+    prefixes = F.transform(asked, lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("pattern")))
     return F.array_distinct(F.concat(domains, prefixes))
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at", changes: int = CHANGES) -> DataFrame:
     """captures plus host, n_active, decided_by (a pattern), decided_list and blocked."""
-    rows = captures.drop(*ADDED).withColumn("host", host_of(url))
-    asked = rows.select(F.col(url).alias("_url"), F.col(fetched).alias("_at"), "host").filter("host <> '' and _at is not null").distinct()
-    keys = asked.select("_url", "_at", F.explode(questions(F.col("host"), path_of("_url"))).alias("q")).select("_url", "_at", "q.kind", "q.pattern")
-    found = keys.join(intervals(entries), ["kind", "pattern"]).filter("valid_from <= _at and (valid_to is null or _at < valid_to)")
-    rank = F.struct(F.length("pattern").alias("n"), (F.col("kind") == "prefix").alias("p"), F.col("allow").alias("allow"), F.col("list").alias("list"), F.col("pattern").alias("pattern"))
-    best = found.groupBy("_url", "_at").agg(F.count("*").alias("n_active"), F.max(rank).alias("r"))
-    best = best.select("_url", "_at", "n_active", F.col("r.pattern").alias("decided_by"), F.col("r.list").alias("decided_list"), (~F.col("r.allow")).alias("blocked"))
-    joined = rows.join(best, (rows[url] == best["_url"]) & (rows[fetched] == best["_at"]), "left")
-    return joined.select(*(rows[c] for c in rows.columns), F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"), "decided_by", "decided_list", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    known = histories(entries, changes)
+    depth = F.when(F.col("pattern").rlike("/$"), 0).otherwise(F.regexp_count("pattern", F.lit("/")))
+    depths = sorted(r["depth"] for r in known.filter("kind = 'prefix'").select(depth.cast("int").alias("depth")).distinct().collect())
+    own = [F.col(f"`{c}`") for c in captures.columns if c not in ADDED]
+    rows = captures.select(F.struct(*own).alias("row"), host_of(url).alias("host"), F.col(url).alias("url"), F.col(fetched).alias("at"))
+    asked = rows.select("url", "at", "host").filter("host <> '' and at is not null").distinct()
+    keys = asked.select("url", "at", F.explode(questions(F.col("host"), path_of("url"), depths)).alias("q")).select("url", "at", "q.kind", "q.pattern")
+    met = keys.join(known, ["kind", "pattern"]).filter("since <= at and (until is null or at < until)")
+    found = met.select("url", "at", "kind", "pattern", "list", F.get("states", as_of(F.col("times"), F.col("at"), changes)).alias("state")).filter("state.active")
+    rank = F.struct(F.length("pattern").alias("n"), (F.col("kind") == "prefix").alias("p"), F.col("state.allow").alias("allow"), F.col("list").alias("list"), F.col("pattern").alias("pattern"))
+    best = found.groupBy("url", "at").agg(F.count("*").alias("n_active"), F.max(rank).alias("r"))
+    best = best.select("url", "at", "n_active", F.col("r.pattern").alias("decided_by"), F.col("r.list").alias("decided_list"), (~F.col("r.allow")).alias("blocked"))
+    return rows.join(best, ["url", "at"], "left").select("row.*", "host", F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"), "decided_by", "decided_list", F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
 
 def sample_entries(pages: DataFrame) -> DataFrame:
