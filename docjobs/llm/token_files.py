@@ -1,10 +1,11 @@
 """Token-ID / binary output: flat unsigned integer files plus 64-bit document offsets, memory-mapped.
 
 ``write_token_files`` encodes texts with a public tokenizer, ranges the documents by identifier over tasks, and each
-task writes one shard: ``N.bin`` (flat unsigned integers, 16 bits where the vocabulary fits), ``N.off`` (64-bit
-offsets into it, one more than documents) and ``N.doc`` (64-bit document ids). The shards' bases are the prefix sums
-of their token counts and stand in the manifest (one entry per shard, the only thing that the driver sees).
-``read_token_files`` maps the shards and returns a row per document.
+task writes shards of about ``SHARD_BYTES`` (a longer document has one of its own): ``T-N.bin`` (flat unsigned integers,
+16 bits where the vocabulary fits), ``T-N.off`` (64-bit offsets into it, one more than documents) and ``T-N.doc`` (64-bit
+document ids), for the N-th shard of task T. The shards' bases are the prefix sums of their token counts and stand in the
+manifest (one entry per shard, the only thing that the driver sees). ``read_token_files`` maps the shards, or reads them
+by ranges where the folder is no mount, and returns a row per document. Identifiers are numbers of 64 bits in the files.
 
 Null texts count as empty and hold the end id alone. Null document ids sort first and come back as null. Rows that
 share a document id stay separate documents, ordered by a hash of their text. An empty table gives no shards. Columns
@@ -31,6 +32,8 @@ from docjobs.llm.common import shared_dir, small_batches
 #: Text pieces whose ids a worker remembers before it starts afresh: bounds its memory, changes no result.
 CACHED_PIECES = 1_000_000
 NULL_ID = -(2**63)
+#: Bytes of ids after which a task begins its next shard; so many documents of a shard are read at once.
+SHARD_BYTES, READ_DOCS = 256 << 20, 4096
 
 _encoders: dict = {}
 
@@ -116,59 +119,89 @@ def _open(folder: str):
     return fs, base
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> dict:
+class _Shard:
+    """A shard that a task writes under a temporary name."""
+
+    def __init__(self, fs, home: str, name: str, width: int):
+        self.fs, self.home, self.name, self.width = fs, home, name, width
+        self.temp = f"{home}/.{name}-{TaskContext.get().taskAttemptId()}"
+        self.flat = fs.open_output_stream(f"{self.temp}.bin")
+        self.offsets, self.ids = array.array("q", [0]), array.array("q")
+
+    @property
+    def tokens(self) -> int:
+        return self.offsets[-1]
+
+    def add(self, doc_id: int | None, tokens: bytes, end: bytes) -> None:
+        self.flat.write(tokens + end)
+        self.ids.append(NULL_ID if doc_id is None else doc_id)
+        self.offsets.append(self.tokens + len(tokens) // self.width + 1)
+
+    def close(self) -> dict:
+        """Gives the files their names; the shard's entry in the manifest."""
+        self.flat.close()
+        for kind, data in (("off", self.offsets), ("doc", self.ids)):
+            with self.fs.open_output_stream(f"{self.temp}.{kind}") as f:
+                f.write(data.tobytes())
+        for kind in ("bin", "off", "doc"):
+            self.fs.move(f"{self.temp}.{kind}", f"{self.home}/{self.name}.{kind}")
+        return {"shard": self.name, "docs": len(self.ids), "tokens": self.tokens, "width": self.width}
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> dict:
     """Writes the shards of all documents in ascending id order below folder; returns the manifest."""
     spark = docs.sparkSession
     small_batches(spark)
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
 
-    def shard(batches):
-        task = TaskContext.get()
+    def shards(batches):
         out, home = _open(folder)
-        enc, number = encoder(tokenizer), task.partitionId()
+        enc, task, n, own = encoder(tokenizer), TaskContext.get().partitionId(), 0, None
+        width, done = enc.dtype.itemsize, []
         end = np.asarray([end_id], dtype=enc.dtype).tobytes()
-        offsets, ids, at = array.array("q", [0]), array.array("q"), 0
-        temp = f"{home}/.{number}-{task.taskAttemptId()}"
-        with out.open_output_stream(f"{temp}.bin") as flat:
-            for batch in batches:
-                ids.extend(NULL_ID if x is None else x for x in batch.column(0).to_pylist())
-                for tokens in map(enc.encode, batch.column(1).to_pylist()):
-                    flat.write(tokens + end)
-                    at += len(tokens) // enc.dtype.itemsize + 1
-                    offsets.append(at)
-        for kind, data in (("off", offsets), ("doc", ids)):
-            with out.open_output_stream(f"{temp}.{kind}") as f:
-                f.write(data.tobytes())
-        if ids:
-            for kind in ("bin", "off", "doc"):
-                out.move(f"{temp}.{kind}", f"{home}/{number:07d}.{kind}")
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "docs": pa.array([len(ids)], pa.int64()), "tokens": pa.array([at], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int32())})
-        else:
-            for kind in ("bin", "off", "doc"):
-                out.delete_file(f"{temp}.{kind}")
+        for batch in batches:
+            for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = enc.encode(t)
+                if own is not None and own.tokens and (own.tokens + 1) * width + len(tokens) > shard_bytes:
+                    done.append(own.close())
+                    n, own = n + 1, None
+                own = own or _Shard(out, home, f"{task:07d}-{n:05d}", width)
+                own.add(x, tokens, end)
+        if own is not None:
+            done.append(own.close())
+        yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("width", pa.int32())]))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    shards = ranged.select("doc_id", "text").mapInArrow(shard, "shard long, docs long, tokens long, width int").collect()
+    written = ranged.select("doc_id", "text").mapInArrow(shards, "shard string, docs long, tokens long, width int").collect()
     listed, start = [], 0
-    for s in sorted(shards, key=lambda s: s["shard"]):
+    for s in sorted(written, key=lambda s: s["shard"]):
         listed.append({"shard": s["shard"], "docs": s["docs"], "tokens": s["tokens"], "base": start})
         start += s["tokens"]
-    manifest = {"width": shards[0]["width"] if shards else 2, "end_id": end_id, "tokens": start, "shards": listed}
+    manifest = {"width": written[0]["width"] if written else 2, "end_id": end_id, "tokens": start, "shards": listed}
     with fs.open_output_stream(f"{base}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
     return manifest
 
 
-def map_file(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the folder is a mounted one, read otherwise."""
-    fs, base = _open(folder)
-    path = f"{base}/{name}"
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+class Flat:
+    """A file as an array whose slices are read when asked for: memory-mapped where the folder is a mount."""
+
+    def __init__(self, folder: str, name: str, dtype: str):
+        fs, base = _open(folder)
+        self.dtype, path = np.dtype(dtype), f"{base}/{name}"
+        self.mapped = isinstance(fs, pafs.LocalFileSystem)
+        self.file = pa.memory_map(path) if self.mapped else fs.open_input_file(path)
+
+    def __len__(self) -> int:
+        return self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(len(self))
+        size = self.dtype.itemsize
+        self.file.seek(a * size)
+        return np.frombuffer(self.file.read_buffer((b - a) * size), self.dtype)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,15 +213,15 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for number, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, off, docs = (map_file(folder, f"{number:07d}.{kind}", t) for kind, t in (("bin", f"<u{width}"), ("off", "<i8"), ("doc", "<i8")))
-                for k in range(0, len(docs), 4096):
-                    ends = np.asarray(off[k : k + 4097])
+            for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, off, docs = (Flat(folder, f"{name}.{kind}", t) for kind, t in (("bin", f"<u{width}"), ("off", "<i8"), ("doc", "<i8")))
+                for k in range(0, len(docs), READ_DOCS):
+                    ends = off[k : k + READ_DOCS + 1]
                     crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                    own = np.asarray(docs[k : k + 4096])
+                    own = docs[k : k + READ_DOCS]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64(), mask=own == NULL_ID), "start": pa.array(ends[:-1] + first, pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    shards = spark.createDataFrame([(s["shard"], s["base"]) for s in manifest["shards"]], "shard long, base long")
+    shards = spark.createDataFrame([(s["shard"], s["base"]) for s in manifest["shards"]], "shard string, base long")
     return shards.repartition(max(1, len(manifest["shards"]))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
