@@ -105,6 +105,17 @@ def test_trigram_queries():
         assert {i for i, t in enumerate(texts) if rx.search(t)} <= kept
 
 
+def test_rules_beyond_ascii(spark):
+    rules = (secrets.Rule("key", "Schlüssel:[a-z]+"), secrets.Rule("any", "Über(?:ß|Kelvin)\\d", any_case=True), secrets.Rule("han", "[日月]本"), secrets.Rule("short", "é"))
+    texts = ["x Schlüssel:abc schlüssel:abc", "ÜBERß1 überß2 ÜberKELVIN3 Über\u212aelvin4", "日本 月本 本", "é", "e", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find_secrets(df, rules).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [(k, a, z) for a, _, k, z in sorted((m.start(), n, r.kind, m.end()) for n, r in enumerate(rules) for m in r.compiled.finditer(t or ""))]
+    assert len(got[0]) == 1 and len(got[2]) == 2 and got[3] == [("short", 0, 1)]
+    assert secrets.trigrams(secrets.trigram_query("üß")) == {"\xc3\xbc\xc3", "\xbc\xc3\x9f"}
+
+
 def test_token_files(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -115,7 +126,10 @@ def test_token_files(spark):
     rows = [(100 - i, t) for i, t in enumerate(texts)] + [(None, "z"), (95, "again")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, start string").repartition(4)
     folder = shared_dir(spark, "test")
-    manifest = token_files.write_token_files(df, folder, path)
+    manifest = token_files.write_token_files(df, folder, path, shard_bytes=40)
+    assert len(manifest["shards"]) >= 6
+    for f in token_files.Flat(folder, manifest["shards"][0]["shard"] + ".off", "<i8"), np.memmap(folder.removeprefix("file://") + f"/{manifest['shards'][0]['shard']}.off", "<i8"):
+        assert f[0:1].tolist() == [0] and len(f) == manifest["shards"][0]["docs"] + 1 and f[0 : len(f)][-1] == manifest["shards"][0]["tokens"]
     got = token_files.read_token_files(spark, folder).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
     at = 0

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docjobs.llm import html_extract, packing, url_filter, warc
 from docjobs.llm.common import shared_dir
@@ -48,6 +49,18 @@ def test_pack(spark):
     assert packing.pack(df.filter("false")).count() == 0
 
 
+def test_boundaries_of_long_texts_are_optimal(spark):
+    rnd = random.Random(12)
+    lengths = [rnd.choice([8200, 8203, 9000, 9001, 12_000, 12_001, 16_400, 30_000, 30_007]) for _ in range(60)]
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string").repartition(3)
+    distinct = sorted(set(lengths))
+    for k in (1, 2, 3, 4):
+        widths = sorted({r.width for r in packing.pack(df, buckets=k, budget=50_000).collect()})
+        assert padding(lengths, widths) == min(padding(lengths, [*c, distinct[-1]]) for c in itertools.combinations(distinct[:-1], k - 1))
+    by_tokens = packing.pack(df.withColumn("tokens", F.length("text") + 5), buckets=2, budget=90_000, length=F.col("tokens")).collect()
+    assert {(r.doc_id, r.n_words) for r in by_tokens} == {(i, 2 * n + 5) for i, n in enumerate(lengths)}
+
+
 def pages_table(spark):
     big, rnd = "<p>" + "long text " * 30, random.Random(9)
     rows = [(i, f"http://h{i % 3}.example/{i}", rnd.choice([big, big + "é", f"<b>{i}</b>" * 20, "short", "", None])) for i in range(60)]
@@ -134,7 +147,8 @@ def test_url_filter(spark):
     urls = ["http://A.example.com/x/y/z?q#f", "https://u:p@a.example.com:80/x", "http://b.org", "http://b.org./k", "ftp://c.net/a", "not a url", None, "http://example.com/x"]
     caps = [(i, rnd.choice(urls), day(rnd.randint(0, 31))) for i in range(150)] + [(200, urls[0], None), (5, urls[0], day(3)), (5, urls[0], day(3))]
     df = spark.createDataFrame([(*c, "x") for c in caps], "id long, url string, fetched_at timestamp, host string")
-    out = url_filter.filter_urls(df, spark.createDataFrame(entries, "list string, allow boolean, kind string, pattern string, action string, dated timestamp"))
+    listed = spark.createDataFrame(entries, "list string, allow boolean, kind string, pattern string, action string, dated timestamp")
+    out = url_filter.filter_urls(df, listed)
     state = {}
     for n, allow, k, p, a, d in entries:
         if p and d:
@@ -156,12 +170,30 @@ def test_url_filter(spark):
         want.append((i, host if u is not None else None, len(hits), best and best[4], best and best[3], bool(best and not best[2])))
     got = [(r.id, r.host, r.n_active, r.decided_by, r.decided_list, r.blocked) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    parts = url_filter.filter_urls(df, listed, changes=4).collect()  # histories in several rows
+    assert sorted(parts, key=str) == sorted(out.collect(), key=str)
     assert out.columns == ["id", "url", "fetched_at", "host", "n_active", "decided_by", "decided_list", "blocked"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert url_filter.filter_urls(df.filter("false"), url_filter.sample_entries(df)).count() == 0
 
 
+def test_long_histories_and_long_paths(spark):
+    """Rows in proportion to captures, whatever the number of intervals; folders at the depths of the entries alone."""
+    day = datetime(2024, 1, 1)
+    entries = spark.range(3000).selectExpr("'l' as list", "false as allow", "'domain' as kind", "'h.example' as pattern", "case id % 2 when 0 then 'add' else 'remove' end as action", "timestamp_micros(id * 1000000) as dated")
+    deep = spark.createDataFrame([("p", True, "prefix", "h.example/" + "a/" * 2 + "a", "add", day), ("p", True, "prefix", "h.example/", "add", day)], entries.schema)
+    caps = spark.range(5000).selectExpr("id", "concat('http://h.example/', id) as url", "timestamp_micros(id % 3100 * 1000000 + 500000) as fetched_at", "1 as row", "2 as at", "3 as pattern")
+    out = url_filter.filter_urls(caps, entries.unionByName(deep))
+    assert out.columns == [*caps.columns, *url_filter.ADDED]
+    assert {r.id for r in out.filter("blocked").collect()} == {i for i in range(5000) if i % 3100 < 3000 and i % 3100 % 2 == 0}
+    met = url_filter.histories(entries).count()
+    assert met == -(-3000 // url_filter.CHANGES)
+    long = spark.createDataFrame([(1, "http://h.example/" + "a/" * 20_000, datetime(2024, 2, 1))], "id long, url string, fetched_at timestamp")
+    r = url_filter.filter_urls(long, deep).first()
+    assert (r.n_active, r.decided_by, r.blocked) == (2, "h.example/a/a/a", False)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
