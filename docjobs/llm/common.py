@@ -27,10 +27,11 @@ def drop(spark: SparkSession, folder: str) -> None:
         _made.remove(folder)
 
 
-def drop_written(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
+def drop_written(spark: SparkSession, since: int = 0, but: str | tuple[str, ...] | None = None) -> None:
     """Deletes what this process has written into the shared folder, from its since-th folder on; call it when results have been stored."""
+    kept = (but,) if isinstance(but, str) else but or ()
     for folder in _made[since:]:
-        if folder != but:
+        if folder not in kept:
             drop(spark, folder)
 
 

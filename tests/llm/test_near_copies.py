@@ -81,6 +81,34 @@ def test_candidates_over_small_and_large_runs(few):
                 assert near_copies.may_be_similar(near_copies.wide_sketch(sets[i]), near_copies.wide_sketch(sets[j]), n[i] + n[j])
 
 
+def test_parts_of_candidates_make_them_all():
+    """Each pair is in one part whatever run it is in, and early parts are small."""
+    rnd = np.random.default_rng(4)
+    n, node = np.full(200, 50), rnd.integers(-(2**63), 2**63 - 1, 200)
+    run = np.repeat([0, 1], 100)
+    node[100:] = node[:100]
+    same = [np.zeros(200, np.uint64)]
+    of = lambda part: [(r, frozenset((node[i], node[j]))) for a, b in near_copies.candidates(run, n, np.zeros(200, int), node, same, False, node, part) for r, i, j in zip(run[a].tolist(), a.tolist(), b.tolist())]
+    parts = [of(p) for p in zip(near_copies.PARTS, near_copies.PARTS[1:])]
+    assert sum(map(len, parts)) == len(set().union(*parts)) == 2 * 100 * 99 // 2
+    assert all({p for r, p in x if r == 0} == {p for r, p in x if r == 1} for x in parts) and 0 < len(parts[0]) < 120
+
+
+def test_large_group_of_near_copies_makes_few_rows(spark):
+    """Pairs compared grow with a group's members, not with their square."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    base, texts = rnd.choices(words, k=100), []
+    for _ in range(600):
+        copy = list(base)
+        for at in rnd.sample(range(100), 1):
+            copy[at] = rnd.choice(words)
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = classes_of(texts)
+    assert sorted(r.doc_id for r in near_copies.near_dedup(docs).collect()) == sorted(set(want))
+
+
 def test_prefixes_of_similar_sets_meet():
     texts = planted()
     sets = [near_copies.shingles(t) for t in texts]
