@@ -58,6 +58,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Sees to it that checkpoint() writes to the folder that the cluster names in ``spark.checkpoint.dir``."""
+    folder = shared_folder(spark, "checkpoints")  # an error on a cluster that names none
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+
+
 def columns(df: DataFrame, *but: str) -> list[Column]:
     """The columns of df, whatever their names hold."""
     return [F.col(f"`{c}`") for c in df.columns if c not in but]
@@ -92,5 +99,6 @@ def one_of_each(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> Dat
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bounds the bytes of the session's Arrow batches from here on, since the rows here are whole documents."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > size:
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(key)))  # such as 64m
+    if not 0 < now <= size:  # none or less: no bound
         spark.conf.set(key, str(size))
