@@ -119,7 +119,7 @@ def seeds(rows: DataFrame, k: int = CENTROIDS, seed: int = SEED) -> np.ndarray:
     """The k vectors (id, x) with the smallest SHA-256 of the seed and the id; each task passes on k."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
     first = rows.select(order.alias("h"), "x").orderBy(F.asc_nulls_last("h"), "x").limit(k).collect()
-    return np.array([r["x"] for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r["x"] for r in first], np.int64) if first else np.zeros((0, DIMENSIONS), np.int64)
 
 
 def means(state: DataFrame, centroids: np.ndarray) -> np.ndarray:

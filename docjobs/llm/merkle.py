@@ -67,10 +67,10 @@ def fold(own: bytes, place: int, n: int, proof: bytes, at: int = 0) -> tuple[byt
     return own, at
 
 
-def subtrees(leaves: list[bytes], first: int, n: int) -> list[tuple[int, list[bytes]]]:
+def subtrees(leaves: list[bytes], first: int, n: int, local: int = LOCAL) -> list[tuple[int, list[bytes]]]:
     """The levels (number of their first node, nodes) that leaves from place ``first`` on make by themselves, in a group of n."""
     levels, size = [(first, leaves)], n
-    while size > 1 and len(levels) <= LOCAL:
+    while size > 1 and len(levels) <= local:
         low, nodes = levels[-1]
         end = low + len(nodes)
         lo, hi = up(low), up(end) if end == size else end // ARITY
@@ -143,9 +143,9 @@ def places(edges: list[tuple[int, int, str, int]]) -> dict[int, dict[str, tuple[
     return {part: {g: (o, total[g]) for g, o in own.items()} for part, own in offset.items()}
 
 
-def _pieces(known, batches):
+def _pieces(known, local, batches):
     """(group, place of the first row, rows of the group, rows) in pieces that end where a local subtree of full height does."""
-    own, most = known.get(TaskContext.get().partitionId(), {}), ARITY**LOCAL
+    own, most = known.get(TaskContext.get().partitionId(), {}), ARITY**local
     group, at, held, size = None, 0, [], 0
 
     def piece(last: bool):
@@ -172,9 +172,9 @@ def _pieces(known, batches):
         yield piece(True)
 
 
-def _node_rows(known, batches):
-    for group, first, n, rows in _pieces(known, batches):
-        levels = subtrees(rows.column(1).to_pylist(), first, n)
+def _node_rows(known, local, batches):
+    for group, first, n, rows in _pieces(known, local, batches):
+        levels = subtrees(rows.column(1).to_pylist(), first, n, local)
         tops = maximal(levels)
         yield pa.RecordBatch.from_pydict({
             "g": [group] * len(tops), "level": pa.array([h for h, _ in tops], pa.int32()), "i": pa.array([i for _, i in tops], pa.int64()),
@@ -182,9 +182,9 @@ def _node_rows(known, batches):
         })
 
 
-def _leaf_rows(known, batches):
-    for group, first, n, rows in _pieces(known, batches):
-        found = local_proofs(subtrees(rows.column(1).to_pylist(), first, n))
+def _leaf_rows(known, local, batches):
+    for group, first, n, rows in _pieces(known, local, batches):
+        found = local_proofs(subtrees(rows.column(1).to_pylist(), first, n, local))
         yield pa.RecordBatch.from_arrays(
             [
                 rows.column(0), rows.column(1), rows.column(2), pa.array(range(first, first + len(found)), pa.int64()),
@@ -228,7 +228,7 @@ def _upper_proofs(nodes: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataF
     return functools.reduce(DataFrame.unionByName, proofs), subroots.select("g", "n", "hash")
 
 
-def trees(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def trees(rows: DataFrame, local: int = LOCAL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (g, o, leaf, row), g a string that is never null -> three tables.
 
     The leaves (g, leaf, row, place, level, i, local: the proof up to node i of that level), the proofs of such nodes up to
@@ -239,13 +239,13 @@ def trees(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ordered = tied.repartitionByRange("g", "o", "leaf", "tie").sortWithinPartitions("g", "o", "leaf", "tie").select("g", "leaf", "row").checkpoint()
     edges = ordered.select("g").mapInArrow(_edge_rows, "part int, at int, g string, n long").collect()  # two for each partition
     known = places([tuple(r) for r in edges])
-    nodes = written(ordered.select("g", "leaf").mapInArrow(functools.partial(_node_rows, known), "g string, level int, i long, hash binary"), "nodes")
+    nodes = written(ordered.select("g", "leaf").mapInArrow(functools.partial(_node_rows, known, local), "g string, level int, i long, hash binary"), "nodes")
     proofs, subroots = _upper_proofs(nodes, written(ordered.groupBy("g").agg(F.count("*").alias("n")), "groups"))
-    leaves = ordered.mapInArrow(functools.partial(_leaf_rows, known), f"g string, leaf binary, row {dict(ordered.dtypes)['row']}, place long, level int, i long, local binary")
+    leaves = ordered.mapInArrow(functools.partial(_leaf_rows, known, local), f"g string, leaf binary, row {dict(ordered.dtypes)['row']}, place long, level int, i long, local binary")
     return leaves, proofs, subroots
 
 
-def manifest(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields: tuple[str, ...] = FIELDS, keep: tuple[Column, ...] = ()) -> DataFrame:
+def manifest(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields: tuple[str, ...] = FIELDS, keep: tuple[Column, ...] = (), local: int = LOCAL) -> DataFrame:
     """One row for each of docs: row (a struct of the order column and of keep), leaf, subroot, root, and the proof.
 
     ``proof`` has the other nodes of each run, 32 bytes each, from the leaf up; place and n tell the leaf's place among the
@@ -254,8 +254,8 @@ def manifest(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields
     g = F.coalesce(F.concat(F.lit("+"), F.col(f"`{group}`").cast("string")), F.lit(""))  # null first
     own = F.struct(F.col(f"`{order}`").alias(order), *keep)
     rows = docs.select(g.alias("g"), F.col(f"`{order}`").alias("o"), leaf(*(F.col(f"`{f}`") for f in fields)).alias("leaf"), own.alias("row"))
-    leaves, proofs, subroots = trees(rows)
-    tops, top_proofs, top = trees(subroots.select(F.lit("").alias("g"), F.col("g").alias("o"), F.col("hash").alias("leaf"), F.struct("g", "n").alias("row")))
+    leaves, proofs, subroots = trees(rows, local)
+    tops, top_proofs, top = trees(subroots.select(F.lit("").alias("g"), F.col("g").alias("o"), F.col("hash").alias("leaf"), F.struct("g", "n").alias("row")), local)
     root = top.first()
     groups = tops.withColumnsRenamed({"leaf": "subroot"}).join(top_proofs, ["g", "level", "i"]).select(F.col("row.g").alias("g"), F.col("row.n").alias("n"), "subroot", F.col("place").alias("group_place"), F.concat("local", "proof").alias("last"))
     ends = proofs.join(groups, "g").withColumn("proof", F.concat("proof", "last")).drop("last")
@@ -288,12 +288,16 @@ def folded(found: DataFrame, id_col: str = "doc_id", altered: str = "altered") -
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def tampered(docs: DataFrame, local: int = LOCAL) -> DataFrame:
+    """``folded`` manifest of docs; where 3 divides the CRC-32 of the decimal doc_id, with the leaf of a text in lower case."""
+    altered = leaf(*(F.translate("text", UPPER, LOWER) if f == "text" else F.col(f) for f in FIELDS))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return folded(manifest(docs, keep=(F.when(hit, altered).alias("altered"),), local=local))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: leaf, subroot, root and proof of each document, and whether rows of which a third are tampered with still lead to the root."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*FIELDS)
-    tampered = leaf(*(F.translate("text", UPPER, LOWER) if f == "text" else F.col(f) for f in FIELDS))
-    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
-    return folded(manifest(docs, keep=(F.when(hit, tampered).alias("altered"),)))
+    return tampered(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*FIELDS))
 
 
 def _crc_table() -> list[int]:

@@ -90,30 +90,30 @@ def signature(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def orders(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each tree, a hash of the first SHALLOW minima (its last six bits are the tree) and the other minima, 16 bits each."""
-    own = sig.reshape(TREES, DEPTH)
-    head = np.arange(TREES, dtype=np.uint64)
+def orders(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set and tree, a hash of the first SHALLOW minima (its last six bits are the tree) and the other minima, 16 bits each."""
+    own = sigs.reshape(-1, TREES, DEPTH)
+    head = np.broadcast_to(np.arange(TREES, dtype=np.uint64), own.shape[:2])
     with np.errstate(over="ignore"):
         for j in range(SHALLOW):
-            head = _mixed(head * _M1 + own[:, j])
-    rest = np.zeros(TREES, np.int64)
+            head = _mixed(head * _M1 + own[:, :, j])
+    rest = np.zeros(own.shape[:2], np.int64)
     for j in range(SHALLOW, DEPTH):
-        rest = rest << 16 | (own[:, j] >> np.uint32(16)).astype(np.int64)
-    return head & ~_TREE | np.arange(TREES, dtype=np.uint64), rest
+        rest = rest << 16 | (own[:, :, j] >> np.uint32(16)).astype(np.int64)
+    return head & ~_TREE | np.arange(TREES, dtype=np.uint64), rest.astype(np.int32)
 
 
 def _text_rows(k, batches):
     for batch in batches:
         sets = [shingles(t, k) for t in batch.column(3).to_pylist()]
-        sigs = [signature(s) for s in sets]
+        sigs = np.array([signature(s) for s in sets], np.uint32).reshape(-1, TREES * DEPTH)
         n = np.array([len(s) for s in sets], np.int64)
-        sketch = [(s[:: max(1, len(s) // SKETCH)][:SKETCH] >> np.uint32(24)).astype(np.uint8).tobytes() for s in sigs]
-        both = [orders(s) for s in sigs]
+        sketch = (sigs[:, ::3][:, :SKETCH] >> np.uint32(16)).astype(np.uint8)
+        heads, rests = orders(sigs)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), batch.column(1), batch.column(2), pa.array(n), pa.array(sketch, pa.binary()), pa.array([wide_sketch(s) for s in sets], pa.binary()),
-                pa.array([h.tobytes() for h, _ in both], pa.binary()), pa.array([r.astype(np.int32).tobytes() for _, r in both], pa.binary()),
+                batch.column(0), batch.column(1), batch.column(2), pa.array(n), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array([wide_sketch(s) for s in sets], pa.binary()),
+                pa.array([h.tobytes() for h in heads], pa.binary()), pa.array([r.tobytes() for r in rests], pa.binary()),
             ],
             names=["doc_id", "key", "node", "n", "sketch", "wide", "heads", "rests"],
         )
