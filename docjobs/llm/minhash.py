@@ -9,7 +9,8 @@ components of links. The work is on distinct texts:
 * The candidates of a text are its neighbours with the longest common prefix: a region of a tree is as deep as it must be.
   Where at most ``LEAF`` texts share the first ``SHALLOW`` minima they are one region, else those that share one more, and
   where that is more than ``HOT``, or goes on in another task, all minima. Regions of one text are dropped.
-* Candidates must differ in component, and agree in size and in a sketch of 64 minima as far as similar sets do. The first
+* Candidates must differ in component, and agree in size, in a sketch of 64 minima and in a parity sketch (a shingle flips
+  its bit: sets differ in as many shingles at least as sketches in bits) as far as similar sets do. The first
   rounds look at two trees, then at all, and compare only as many as join what may be similar, so that a dense group of near
   copies makes about as many rows as it has members. The next rounds compare what is left, first a part of it: what few
   pairs of a part join needn't be compared in the rest. Regions that lie in one component are closed, and not read again.
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docjobs.llm.common import drop_written, n_written, one_of_each, row_key, small_batches, stored, written
-from docjobs.llm.near_copies import DEN, NUM, _joined, _similar_rows, pair_hash, wide_sketch
+from docjobs.llm.near_copies import DEN, NUM, _joined, pair_hash, wide_sketch
 
 SHINGLE, SEED = 2, 11
 TREES, DEPTH, SHALLOW = 40, 6, 4
@@ -52,6 +53,9 @@ WAVES = ((2, True, (0.0, 1.0)), (TREES, True, (0.0, 1.0)), (TREES, False, (0.0,
 #: Rows of sorted orders that a task looks at together, and shingles whose minima it takes at once.
 ROWS, BLOCK = 1 << 17, 4096
 
+#: Texts that are compared are found by a broadcast of their numbers up to so many, 16 MB, and by a shuffle beyond.
+SENT = 1 << 20
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DRAWN = np.random.RandomState(SEED).randint(0, 1 << 32, (2, TREES * DEPTH), dtype=np.uint64).astype(np.uint32)
 _XOR, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint32(1)
@@ -181,7 +185,36 @@ def _leaf_rows(batches):
         yield out(columns, len(columns[0]), True)
 
 
-def candidates(region, side, node, n, root, sketch, few: bool, part: tuple[float, float]):
+class Sketches:
+    """Parity sketches (``wide_sketch``) of rows, by width."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.width = np.array([len(b) for b in blobs])
+        self.at, self.rows = np.zeros(len(blobs), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.at[own] = np.arange(len(own))
+            self.rows[w] = np.frombuffer(b"".join(blobs[i] for i in own.tolist()), np.uint64).reshape(len(own), -1)
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits pairs differ, at the smaller width of the two: as many shingles differ at least."""
+        swap = self.width[x] > self.width[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        out, kind = np.zeros(len(x), np.int64), self.width[x] << 32 | self.width[y]
+        for both in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == both)
+            low, high = both >> 32, both & 0xFFFFFFFF
+            step = max(1, (1 << 23) // high)
+            for i in range(0, len(own), step):
+                part = own[i : i + step]
+                a, b = self.rows[low][self.at[x[part]]], self.rows[high][self.at[y[part]]]
+                while b.shape[1] > a.shape[1]:
+                    b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+                out[part] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        return out
+
+
+def candidates(region, side, node, n, root, sketch, wide: Sketches, few: bool, part: tuple[float, float]):
     """Yields (positions, positions) of rows of a region that may be similar, sorted by (region, n); with few, only as many as join all."""
     _, label = np.unique(root, return_inverse=True)
     own = np.arange(label.max() + 1 if len(label) else 0)
@@ -207,6 +240,8 @@ def candidates(region, side, node, n, root, sketch, few: bool, part: tuple[float
             x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
             ok = (sketch[x] == sketch[y]).sum(1) >= AGREE
             x, y = x[ok], y[ok]
+            ok = wide.differ(x, y) * (DEN + NUM) <= (DEN - NUM) * (n[x] + n[y])
+            x, y = x[ok], y[ok]
             if few and len(x):
                 taken = []
                 for i, (p, q) in enumerate(zip(label[x].tolist(), label[y].tolist())):
@@ -230,14 +265,14 @@ def _pair_rows(few, part, batches):
     def out(rows: pa.Table):
         region, side, node, n, root = (rows.column(i).to_numpy() for i in range(5))
         sketch = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH)
-        for a, b in candidates(region, side, node, n, root, sketch, few, part):
+        for a, b in candidates(region, side, node, n, root, sketch, Sketches(rows.column(6).to_pylist()), few, part):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], names=["u", "v"])
 
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
-        if size >= ROWS // 4:
+        if size >= ROWS // 8:
             rows = pa.Table.from_batches(held)
             region = rows.column(0).to_numpy()
             end = int(np.searchsorted(region, region[-1]))
@@ -285,15 +320,13 @@ def similar_components(docs: DataFrame, nodes: DataFrame, text: str = "text", k:
     for trees, few, part in WAVES:
         mark = n_written()
         rows = met.filter(F.col("region").bitwiseAND(F.lit(63)) < trees).join(found, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
-        dealt = _dealt(rows, few, hot).join(nodes.select("node", "n", "sketch"), "node").select("region", "side", "node", "n", "root", "sketch")
+        dealt = _dealt(rows, few, hot).join(nodes.select("node", "n", "sketch", "wide"), "node").select("region", "side", "node", "n", "root", "sketch", "wide")
         pairs = dealt.repartition("region").sortWithinPartitions("region", "n", "node").mapInArrow(functools.partial(_pair_rows, few, part), "u long, v long").distinct()
-        pairs = written(pairs if compared is None else pairs.join(compared, ["u", "v"], "left_anti"), "met-pairs")
-        for at, name in (("u", "a"), ("v", "b")):
-            pairs = pairs.join(nodes.select(F.col("node").alias(at), F.col("n").alias(f"n{name}"), F.col("wide").alias(name)), at)
-        pairs = written(pairs.select("u", "v", "a", "b", F.col("na") + F.col("nb")).mapInArrow(_similar_rows, "u long, v long"), "candidates")
-        if not pairs.isEmpty():
-            asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-            texts = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
+        pairs = written(pairs if compared is None else pairs.join(compared, ["u", "v"], "left_anti"), "candidates")
+        asked = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
+        if n_asked := asked.count():
+            asked = F.broadcast(asked) if n_asked <= SENT else asked  # else texts are shuffled
+            texts = docs.select(F.xxhash64(text).alias("node"), F.make_valid_utf8(F.col(text)).alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
             sets = written(texts.mapInArrow(functools.partial(_set_rows, k), "node long, own array<long>"), "sets")
             both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
             same = F.size(F.array_intersect("a", "b"))
@@ -309,14 +342,14 @@ def similar_components(docs: DataFrame, nodes: DataFrame, text: str = "text", k:
 def _grouped(docs: DataFrame, doc_id: str, text: str, k: int, hot: int) -> DataFrame:
     """doc_id, key, n_shingles, root, component_id for each row of docs; root is null without words."""
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[doc_id]
+    kind, first = dict(docs.dtypes)[doc_id], n_written()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(doc_id, text).alias("key"), F.xxhash64(text).alias("node"), F.make_valid_utf8(F.col(text)).alias("text"))
     made = written(rows.mapInArrow(functools.partial(_text_rows, k), f"doc_id {kind}, key string, node long, n long, sketch binary, wide binary, heads binary, rests binary"), "signatures")
-    nodes = made.select("node", "n", "sketch", "wide", "heads", "rests").dropDuplicates(["node"])
-    first = n_written()
-    nodes = written(nodes, "nodes")
+    nodes, nodes_at = stored(made.select("node", "n", "sketch", "wide", "heads", "rests").dropDuplicates(["node"]), "nodes")
+    made, narrow = stored(made.select("doc_id", "key", "node", "n"), "rows")
+    drop_written(docs.sparkSession, first, but=(narrow, nodes_at))
     found, folder = stored(similar_components(docs, nodes, text, k, hot), "components")
-    drop_written(docs.sparkSession, first, but=folder)
+    drop_written(docs.sparkSession, first, but=(narrow, folder))
     of_node = made.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     shared = of_node.join(found, "node", "left").filter("c > 1 or root is not null").select("node", "least", F.coalesce("root", "node").alias("root"))
     shared = written(shared, "shared")
