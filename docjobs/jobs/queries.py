@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from docjobs.functions.text import normalize_text
 from docjobs.jobs import render as R
-from docjobs.operators import compliance, graph, ids, invoices, merge, pages, retrieve, store, verify
+from docjobs.operators import compliance, edits, graph, ids, invoices, merge, pages, retrieve, split, store, vector_index, verify
 from docjobs.sources import documents, results_log
 from docjobs.sources.shared import shared_folder
+from docjobs.streaming import batches
 from docjobs.streaming import jobs as streaming
 
 FLAGSHIP = "d6_merge_results"
@@ -410,6 +411,20 @@ def f6(spark, sf_dir):
     return out.select("pair_id", "page_no", "status", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
 
 
+_SENTENCES = "s AS (SELECT doc_id, CAST(floor(doc_id / 2) AS BIGINT) AS pair_id, replace(coalesce(text, ''), '. ', '.' || chr(10)) AS text FROM documents)"
+
+
+@query("f6_edit_scripts", f"""
+WITH {_SENTENCES}, j AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, a.text AS l, b.text AS r FROM (SELECT * FROM s WHERE doc_id % 2 = 0) a FULL JOIN (SELECT * FROM s WHERE doc_id % 2 = 1) b USING (pair_id)),
+n AS (SELECT *, CASE WHEN l IS NULL THEN 0 ELSE len(string_split(l, chr(10))) END AS ll, CASE WHEN r IS NULL THEN 0 ELSE len(string_split(r, chr(10))) END AS rr FROM j)
+SELECT pair_id, (rr - ll)::INT AS grown, coalesce(l IS DISTINCT FROM r, true) AS changed, md5(coalesce(r, '')) AS replayed FROM n""")
+def f6_edits(spark, sf_dir):
+    docs = R.documents(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair_id"), F.lit(1).alias("page_no"), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n")).alias("text"))
+    ref = docs.filter("doc_id % 2 = 0")
+    out = edits.edit_scripts(ref, docs.filter("doc_id % 2 = 1")).join(ref.select("pair_id", "page_no", "text"), ["pair_id", "page_no"], "left")
+    return out.select("pair_id", (F.col("n_added") - F.col("n_removed")).alias("grown"), (F.size("hunks") > 0).alias("changed"), F.md5(F.coalesce(edits.replay(F.col("text"), F.col("hunks")), F.lit("")).cast("binary")).alias("replayed"))
+
+
 # G: chunks, retrieval, chat
 
 _CHUNKS = "chunks AS (SELECT doc_id, source, c AS chunk_no, substring(text, c * 800 + 1, 1000) AS text FROM (SELECT *, unnest(range(greatest(1, ceil((length(text) - 200) / 800))::BIGINT)) AS c FROM documents WHERE length(text) > 0))"
@@ -424,6 +439,38 @@ def g1(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "chunk_no", "text")
 
 
+def _kept(text: str, sep: str) -> str:
+    """Pieces of a text that end with the separator."""
+    parts = f"string_split({text}, {sep})"
+    return f"list_filter(list_transform({parts}, lambda s, i: s || CASE WHEN i < len({parts}) THEN {sep} ELSE '' END), lambda s: s <> '')"
+
+
+def _cut(text: str, seps: tuple[str, ...], size: int, depth: int = 0) -> str:
+    if not seps:
+        return f"string_split({text}, '')"
+    x = f"x{depth}"
+    return f"flatten(list_transform({_kept(text, seps[0])}, lambda {x}: CASE WHEN length({x}) > {size} THEN {_cut(x, seps[1:], size, depth + 1)} ELSE [{x}] END))"
+
+
+_SPLIT = f"""
+WITH RECURSIVE p AS (SELECT doc_id, text, CASE WHEN length(text) > 1000 THEN {_cut('text', ('chr(10) || chr(10)', 'chr(10)', "' '"), 1000)} ELSE [text] END AS parts FROM documents WHERE length(text) > 0),
+e AS (SELECT doc_id, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS b FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM p)),
+b AS MATERIALIZED (SELECT doc_id, list(b ORDER BY b) AS bs FROM e GROUP BY doc_id),
+c AS (
+  SELECT doc_id, bs, 0::BIGINT AS a, list_max(list_filter(bs, lambda v: v <= 1000)) AS z, 0::BIGINT AS chunk_no FROM b
+  UNION ALL
+  SELECT doc_id, bs, s AS a, list_max(list_filter(bs, lambda v: v <= s + 1000)) AS z, chunk_no + 1 FROM (
+    SELECT doc_id, bs, chunk_no, list_min(list_filter(list_prepend(0, bs), lambda v: v >= greatest(z - 200, list_min(list_filter(bs, lambda w: w > z)) - 1000))) AS s FROM c WHERE z < bs[-1])
+)
+SELECT doc_id, chunk_no, a AS start, substring(text, a + 1, z - a) AS text FROM c JOIN p USING (doc_id)
+"""
+
+
+@query("g1_split_documents", _SPLIT)
+def g1_split(spark, sf_dir):
+    return split.split_documents(R.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "chunk_no", "start", "text")
+
+
 _FP = "CASE WHEN doc_id % 2 = 0 THEN source || '::' || doc_id || '-' || chunk_no ELSE sha256(text) END"
 
 
@@ -475,7 +522,7 @@ def _hits(spark, sf_dir) -> DataFrame:
 _TOPK = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM v q, v WHERE q.vec_id % 50 = 0),
-h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS rank FROM d QUALIFY rank <= 5)
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM d QUALIFY rank <= 5)
 """
 
 
@@ -496,6 +543,22 @@ def g6_mmr(spark, sf_dir):
     return out.select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
 
 
+@query("g6_vector_index")
+def g6_index(spark, sf_dir):
+    asked, vectors = _asked(spark, sf_dir)
+    path = shared_folder(spark, "vector-index")
+    vector_index.build(vectors, path)
+    return vector_index.search(asked, path, 5).select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
+
+
+@query("g6_vector_index_all_lists", _TOPK + "SELECT query_id, vec_id, round(dist, 6) AS dist, rank::INT AS rank FROM h")
+def g6_index_all(spark, sf_dir):
+    asked, vectors = _asked(spark, sf_dir)
+    path = shared_folder(spark, "vector-index")
+    vector_index.build(vectors, path)
+    return vector_index.search(asked, path, 5, probes=vector_index.LISTS).select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
+
+
 @query("g7_assemble_context", _TOPK + "SELECT query_id, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY rank)) AS digest FROM h JOIN documents ON vec_id = doc_id GROUP BY query_id")
 def g7(spark, sf_dir):
     texts = R.documents(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
@@ -662,6 +725,87 @@ def i2(spark, sf_dir):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "model", "n", F.round("avg_s", 6).alias("avg_s"), F.round("max_s", 6).alias("max_s"))
 
 
+def _metrics_log(spark, sf_dir) -> DataFrame:
+    return R.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("model"), F.col("value").alias("duration_seconds"), (F.col("user_id") % 5).cast("double").alias("confidence_score"))
+
+
+def _within(log: DataFrame, figures: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """figures, with p50_close and p95_close: whether at most one in a hundred of the exact ranks lies between."""
+    both = log.join(figures, keys)
+    share = lambda at, c: (F.count_if(F.col("duration_seconds") < F.col(c)) / F.count("*") <= at + 0.01) & (F.count_if(F.col("duration_seconds") <= F.col(c)) / F.count("*") >= at - 0.01)
+    return both.groupBy(*keys).agg(share(0.5, "median_s").alias("p50_close"), share(0.95, "p95_s").alias("p95_close"))
+
+
+@query("i2_stream_quantiles", """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type AS model, count(*) AS n, round(avg((user_id % 5 > 0)::INT), 6) AS success_rate, true AS p50_close, true AS p95_close
+FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
+def i2_quantiles(spark, sf_dir):
+    log = _metrics_log(spark, sf_dir)
+    out = _drained(spark, sf_dir, log, streaming.stream_results_metrics).withColumn("hour", F.date_format("window_start", "yyyy-MM-dd HH"))
+    close = _within(log.withColumn("hour", F.date_format("timestamp", "yyyy-MM-dd HH")), out.select("hour", "model", "median_s", "p95_s"), ["hour", "model"])
+    return out.join(close, ["hour", "model"]).select("hour", "model", "n", F.round("success_rate", 6).alias("success_rate"), "p50_close", "p95_close")
+
+
+@query("i2_stream_sliding", """
+SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, event_type AS model, count(*) AS n, round(max(value), 6) AS max_s
+FROM (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events)
+WHERE s + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
+def i2_sliding(spark, sf_dir):
+    out = _drained(spark, sf_dir, _metrics_log(spark, sf_dir), lambda s: streaming.stream_results_metrics(s, "2 hours", slide="1 hour"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), "model", "n", F.round("max_s", 6).alias("max_s"))
+
+
+@query("i2_rollup_metrics", """
+WITH w AS (SELECT event_type AS model, ts::DATE AS day, hour(ts) AS hour, value, user_id FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events))
+SELECT model, strftime(day, '%Y-%m-%d') AS day, hour::INT AS hour, count(*) AS n, round(avg((user_id % 5 > 0)::INT), 6) AS success_rate, round(avg(value), 6) AS avg_s, true AS p50_close, true AS p95_close
+FROM w GROUP BY GROUPING SETS ((model, day, hour), (model, day), (model))""")
+def i2_rollup(spark, sf_dir):
+    log = _metrics_log(spark, sf_dir)
+    windows = _drained(spark, sf_dir, log, streaming.stream_results_metrics)
+    closed = log.join(F.broadcast(windows.agg((F.max("window_start") + F.expr("interval 1 hour")).alias("end"))), F.col("timestamp") < F.col("end"))  # one row
+    out = streaming.rollup_metrics(windows).withColumns({"day": F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit("all")), "hour": F.coalesce("hour", F.lit(-1))})
+    hours, days = F.hour("timestamp"), F.date_format("timestamp", "yyyy-MM-dd")
+    levels = closed.select("model", "duration_seconds", F.explode(F.array(F.struct(days.alias("day"), hours.alias("hour")), F.struct(days.alias("day"), F.lit(-1).alias("hour")), F.struct(F.lit("all").alias("day"), F.lit(-1).alias("hour")))).alias("l")).select("model", "duration_seconds", "l.*")
+    close = _within(levels, out.select("model", "day", "hour", "median_s", "p95_s"), ["model", "day", "hour"])
+    return out.join(close, ["model", "day", "hour"]).select("model", F.nullif("day", F.lit("all")).alias("day"), F.nullif("hour", F.lit(-1)).alias("hour"), "n", F.round("success_rate", 6).alias("success_rate"), F.round("avg_s", 6).alias("avg_s"), "p50_close", "p95_close")
+
+
+@query("h1_stream_cache_lookup", """
+WITH
+r AS (SELECT event_id AS request_id, user_id, ts FROM events WHERE event_id % 3 = 0),
+c AS (SELECT user_id, ts, CASE WHEN event_id % 7 > 0 THEN 'r' || event_id ELSE '' END AS record FROM events WHERE event_id % 3 > 0)
+SELECT r.request_id, r.user_id, max(struct_pack(t := c.ts, record := c.record)).record AS record, CASE WHEN count(c.record) > 0 THEN 'cache' ELSE 'ocr' END AS source
+FROM r LEFT JOIN c ON c.user_id = r.user_id AND c.ts <= r.ts AND c.ts >= r.ts - INTERVAL 1 DAY AND c.record <> '' GROUP BY ALL""")
+def h1_stream(spark, sf_dir):
+    events = R.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = shared_folder(spark, "stream")
+    clock = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts"))  # a row that closes all others, on both sides
+    asked = events.filter("event_id % 3 = 0").select("event_id", "user_id", "ts").unionByName(clock.select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), "ts"))
+    known = events.filter("event_id % 3 > 0").select("user_id", "ts", F.when(F.col("event_id") % 7 > 0, F.concat(F.lit("r"), "event_id")).otherwise("").alias("record")).unionByName(clock.select(F.lit(-2).cast("long").alias("user_id"), "ts", F.lit("-").alias("record")))
+    streams = []
+    for name, df in (("asked", asked), ("known", known)):
+        df.write.parquet(f"{path}/{name}")
+        streams.append(spark.readStream.schema(df.schema).parquet(f"{path}/{name}"))
+    out = streaming.stream_cache_lookup(streams[0].withColumnRenamed("event_id", "request_id"), streams[1])
+    out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out").filter("request_id >= 0").select("request_id", "user_id", "record", "source")
+
+
+@query("d6_stream_merge", _D + f"SELECT batch_id, kind, out_pos::INT AS out_pos, {_FLAT} FROM d6")
+def d6_stream(spark, sf_dir):
+    rows = R.page_results(spark, sf_dir)
+    base = shared_folder(spark, "batches")
+    # pages of a batch arrive in three loads, the last of them after the batch has closed once; then a page of no batch moves the clock
+    arrival = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("load") * 7200 + F.when(F.col("load") == 1, -7000).otherwise(0) + F.col("pos"))
+    timed = rows.withColumn("load", F.col("pos") % 3).withColumn("arrived_at", arrival)
+    for load in range(3):
+        timed.filter(F.col("load") == load).drop("load").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    timed.limit(1).withColumns({"batch_id": F.lit(None).cast("long"), "arrived_at": F.timestamp_seconds(F.lit(1_800_000_000))}).drop("load").write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(timed.drop("load").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    batches.stream_merge(stream, f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return _flat(batches.read_merged(spark, f"{base}/out"), "out_pos")
+
+
 @query("i3_stream_dedupe", "SELECT DISTINCT user_id || '-' || event_type AS fp FROM events")
 def i3(spark, sf_dir):
     source = R.table(spark, sf_dir, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("fp"), "ts")

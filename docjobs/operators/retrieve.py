@@ -12,10 +12,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docjobs.sources.shared import folder_exists, shared_folder
+from docjobs.sources.shared import drop_folder, folder_exists, shared_folder
 
 #: Query vectors and index vectors that a task holds at once, and the distances that it computes at once.
 QUERY_BLOCK, INDEX_CHUNK, TILE = 4096, 1 << 16, 1 << 22
+#: Folders that queries of many sessions are dealt over, and a bound of the error of a distance by matrix product, as a share of the sizes.
+QUERY_BUCKETS, ERROR = 64, 1e-12
 
 
 def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -70,39 +72,62 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+def nearest_of(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Yields (query, row, squared distance) of the k nearest rows of x to each finite q; of equal distances, the first rows.
+
+    A matrix product of the vectors, moved to the first row, gives bounds of all distances, with an error in proportion to
+    the sizes; what the bounds leave is computed exactly, so neither a common offset nor a small scale hides a neighbour.
+    """
+    whole = np.flatnonzero(np.isfinite(q).all(1))
+    q = q[whole]
+    qc, xc = q - x[0], x - x[0]
+    qq, xx = (qc**2).sum(1), (xc**2).sum(1)
+    step = max(1, TILE // len(x))
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        near, error = qq[part, None] - 2 * qc[part] @ xc.T + xx, ERROR * (qq[part, None] + xx)
+        take = min(k, len(x))
+        edge = np.partition(near + error, take - 1, axis=1)[:, take - 1]
+        i, j = np.nonzero(near - error <= edge[:, None])
+        exact = ((q[at + i] - x[j]) ** 2).cumsum(1)[:, -1]  # summed in order
+        order = np.lexsort((j, exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        yield whole[at + i[first]], j[first], exact[first]
+
+
 def _nearest(folder: str, k: int):
-    """The k nearest rows of each chunk of the index to each query; the window that follows merges chunks and tasks.
+    """The k nearest rows of each chunk of the index to each query of their part; the window that follows merges chunks and tasks.
 
-    Queries are read block by block from the shared folder, so no task or driver holds more than one block of them.
+    Queries are read block by block from the shared folder, only from the buckets of the parts that the chunk holds, so no
+    task or driver holds more than one block of them.
     """
 
-    def blocks():
+    def blocks(buckets):
         fs, path = pafs.FileSystem.from_uri(folder)
-        for batch in pads.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=QUERY_BLOCK, batch_readahead=1, fragment_readahead=1):
+        kind = pads.partitioning(pa.schema([("bucket", pa.int32())]), flavor="hive")
+        rows = pads.dataset(path, filesystem=fs, format="parquet", partitioning=kind)
+        for batch in rows.to_batches(filter=pads.field("bucket").isin(buckets), batch_size=QUERY_BLOCK, batch_readahead=1, fragment_readahead=1):
             if batch.num_rows:
-                yield batch.column("query_id").to_numpy(), _matrix(batch.column("embedding")), batch.column("part").to_pylist()
+                yield batch.column("query_id").to_numpy(), _matrix(batch.column("embedding")), batch.column("part").to_pandas()
 
     def found(table: pa.Table):
         table = table.sort_by("vec_id").combine_chunks()
         ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("embedding").combine_chunks())
+        whole = np.isfinite(x).all(1)
         code, names = pd.factorize(table.column("part").to_pandas(), use_na_sentinel=False)
-        # of equal vectors of a part, the k smallest ids are enough
-        _, same = np.unique(np.column_stack((x, code)), axis=0, return_inverse=True)
-        order = np.lexsort((np.arange(len(x)), same.ravel()))
-        run = same.ravel()[order]
-        few = np.sort(order[np.arange(len(x)) - np.searchsorted(run, run) < k])
-        ids, x, code = ids[few], x[few], code[few]
-        known, size = {None if pd.isna(n) else n: c for c, n in enumerate(names)}, (x**2).sum(1)
-        for asked, q, parts in blocks():
-            part = np.array([known.get(p, -1) for p in parts])
-            for at in range(0, len(asked), max(1, TILE // len(x))):
-                own, p = q[at : at + max(1, TILE // len(x))], part[at : at + max(1, TILE // len(x))]
-                dist = np.maximum((own**2).sum(1)[:, None] - 2 * own @ x.T + size, 0)
-                dist[p[:, None] != code] = np.inf
-                take = min(k, len(x))
-                edge = np.partition(dist, take - 1, axis=1)[:, take - 1]
-                i, j = np.nonzero((dist <= edge[:, None] + 1e-9) & (dist < np.inf))  # ties of different vectors at the edge all go on
-                yield pa.RecordBatch.from_arrays([pa.array(asked[at + i]), pa.array(ids[j]), pa.array(((own[i] - x[j]) ** 2).sum(1))], names=["query_id", "vec_id", "dist"])
+        code = code[whole]
+        order = np.argsort(code, kind="stable")
+        ids, x, code = ids[whole][order], x[whole][order], code[order]
+        known = {None if pd.isna(n) else n: c for c, n in enumerate(names)}
+        for asked, q, parts in blocks(np.unique(table.column("bucket").to_numpy()).tolist()):
+            part = np.array([known.get(None if pd.isna(p) else p, -1) for p in parts])
+            for c in np.unique(part[part >= 0]).tolist():
+                lo, hi = np.searchsorted(code, [c, c + 1])
+                own = np.flatnonzero(part == c)
+                if lo < hi:
+                    for i, j, dist in nearest_of(q[own], x[lo:hi], k):
+                        yield pa.RecordBatch.from_arrays([pa.array(asked[own[i]]), pa.array(ids[lo + j]), pa.array(dist)], names=["query_id", "vec_id", "dist"])
 
     def rows(batches):
         held, n = [], 0
@@ -121,19 +146,23 @@ def _nearest(folder: str, k: int):
 def similarity_topk(queries: DataFrame, index: DataFrame, k: int = 5, within: str | None = None) -> DataFrame:
     """queries (query_id, embedding) x index (vec_id, embedding) -> query_id, vec_id, dist, rank.
 
-    Squared L2, ties by vec_id; with ``within``, a column of both tables (such as a session), among the rows that share it.
-    Any other condition is a filter on the index. The queries are written to the shared folder and read from there in
-    blocks by the tasks that scan the index, once; the shuffle carries k rows per query and chunk. Null embeddings find
-    nothing and are not found.
+    Squared L2, ties by vec_id; with ``within``, a column of both tables (such as a session), among the rows that share it
+    (a query may stand in several). Any other condition is a filter on the index. The queries are written to the shared
+    folder, by buckets of ``within``, and read from there in blocks by the tasks that scan the index, once; what they find, k
+    rows per query and chunk, is written before the queries are dropped. Vectors that are null or not finite find nothing
+    and are not found.
     """
     spark = queries.sparkSession
     part = F.lit(None).cast("string") if within is None else F.col(within).cast("string")
-    narrow = lambda df, key: df.filter(F.col("embedding").isNotNull()).select(F.col(key).cast("long").alias(key), "embedding", part.alias("part"))
-    folder = shared_folder(spark, "queries")
-    narrow(queries, "query_id").write.parquet(folder)
-    near = narrow(index, "vec_id").mapInArrow(_nearest(folder, k), "query_id long, vec_id long, dist double")
-    order = Window.partitionBy("query_id").orderBy(F.round("dist", 9), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    bucket = F.lit(0) if within is None else F.pmod(F.xxhash64("part"), F.lit(QUERY_BUCKETS)).cast("int")
+    narrow = lambda df, key: df.filter(F.col("embedding").isNotNull()).select(F.col(key).cast("long").alias(key), "embedding", part.alias("part")).withColumn("bucket", bucket)
+    folder, near = shared_folder(spark, "queries"), shared_folder(spark, "near")
+    asked = narrow(queries, "query_id")
+    (asked if within is None else asked.repartition("bucket", F.pmod(F.xxhash64("query_id"), F.lit(8)))).write.partitionBy("bucket").parquet(folder)
+    narrow(index, "vec_id").mapInArrow(_nearest(folder, k), "query_id long, vec_id long, dist double").write.parquet(near)
+    drop_folder(spark, folder)
+    order = Window.partitionBy("query_id").orderBy("dist", "vec_id")
+    return spark.read.schema("query_id long, vec_id long, dist double").parquet(near).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def relevance(dist: Column) -> Column:
