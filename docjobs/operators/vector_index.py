@@ -3,7 +3,7 @@
 ``build`` trains centroids on a sample of bounded size, assigns every row to the nearest one and writes the rows in a folder
 for each list. ``search`` sends each query to the lists of its nearest centroids, reads the folders of those lists alone,
 and ranks what it finds there by exact distance. With as many probes as there are lists the result is that of the exact
-search, which stays in ``retrieve``. Vectors without clusters, such as those of the given tables, need half of the lists for a
+search, which stays in ``retrieve``. Vectors without clusters, such as those of the given tables, need five eighths of the lists for a
 recall over 0.9 (figures in the README); where vectors have clusters, a quarter or less does.
 
 Rows whose vector is null or not finite are in no list and are not found. An index of no rows finds nothing.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docjobs.operators.retrieve import similarity_topk
 
 #: Lists of an index; rows of the sample that trains them; rounds of training; lists that a query probes.
-LISTS, SAMPLE, ROUNDS, PROBES = 32, 20_000, 10, 16
+LISTS, SAMPLE, ROUNDS, PROBES = 32, 20_000, 10, 20
 #: Files that the rows of one list are dealt over at most, so that a list of a third of all rows is many tasks' work.
 FILES = 64
 
