@@ -70,6 +70,11 @@ def columns(df: DataFrame, *but: str) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c not in but]
 
 
+def valid(text: str) -> Column:
+    """The text with bytes that are no UTF-8 as U+FFFD, which is what the operators' Python sees of it."""
+    return F.make_valid_utf8(F.col(text))
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """The id and a hash of the text: what tells documents apart where ids repeat."""
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(F.col(text)))

@@ -13,7 +13,7 @@ strings' numbers; a number has at most ``TRIE_KEYS`` rows, however large its cla
 The rows and their numbers are written to the shared folder first, so that both sides see the same numbers when a task
 runs again.
 
-Defined results: null texts count as empty; texts that normalise to nothing are equal to each other; ids may be of any
+Defined results: bytes that are no UTF-8 count as U+FFFD, and come back so; null texts count as empty; texts that normalise to nothing are equal to each other; ids may be of any
 type that has an order; null doc_ids sort after all others; rows that repeat both doc_id and text are one document and
 carry the same ``kept`` (``drop_duplicates`` leaves one of them); an empty table gives an empty result; further columns
 are kept as they are, those that clash with the added names are replaced (``drop_duplicates`` adds none).
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from docjobs.llm.common import SPACES, columns, small_batches, written
+from docjobs.llm.common import SPACES, columns, small_batches, valid, written
 
 #: Estimated bytes that a trie holds before it passes rows on (scan side) or spills a subtree (dealt side).
 TRIE_BYTES = 16 << 20
@@ -283,7 +283,7 @@ def _owner_rows(memory: int, batches):
 def _numbered(docs: DataFrame, doc_id: str, text: str, keep_text: bool, memory: int) -> tuple[DataFrame, DataFrame]:
     """The rows of docs with their strings' numbers; and number, group_size, keep_points, keep_id, keep_row of shared strings."""
     small_batches(docs.sparkSession)
-    given = docs.select(F.col(text).alias("text"), F.struct(*columns(docs, text)).alias("rest"))
+    given = docs.select(valid(text).alias("text"), F.struct(*columns(docs, text)).alias("rest"))
     rest = given.schema["rest"].dataType
     long, id_type = LongType(), rest[doc_id].dataType
     fields = [("text", StringType()), ("rest", rest), ("row", long), ("number", long), ("points", long), ("sha", StringType()), ("body", BinaryType()), ("n", long), ("id", id_type), ("n_bytes", long), ("h", long)]

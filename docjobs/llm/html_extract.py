@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import small_batches, written
+from docjobs.llm.common import small_batches, valid, written
 
 #: What is declared of an element: in the main content, a container below it, nothing, outside the page's main content,
 #: furniture; and a reader's or a form's, which entropy can't tell from an article.
@@ -273,7 +273,7 @@ def _node_rows(declared: bool, batches):
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html", declared: bool = True) -> DataFrame:
     """host, node, kind, pages, importance of the nodes of each host's tree."""
-    seen = pages.select(host(url).alias("host"), F.col(html).alias("html")).mapInArrow(functools.partial(_node_rows, declared), f"host string, page long, nodes {_NODES}").dropDuplicates(["host", "page"])
+    seen = pages.select(host(url).alias("host"), valid(html).alias("html")).mapInArrow(functools.partial(_node_rows, declared), f"host string, page long, nodes {_NODES}").dropDuplicates(["host", "page"])
     flat = seen.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
     texts = F.when(F.size("own") > 0, F.transform("own", lambda t: F.struct(F.lit("own").alias("of"), t.alias("hash")))).otherwise(F.array(F.struct(F.lit("branch").alias("of"), F.col("branch").alias("hash"))))
     every = F.concat(F.array(F.struct(F.lit("style").alias("of"), F.col("style").alias("hash"))), texts)
@@ -318,7 +318,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     kind = dict(pages.dtypes)[page_id]
     found = written(weighed(style_tree(pages, url, html, declared)).filter("overruled").select("host", "node"), "overruled")
     size = found.agg(F.sum(F.length("host") + 8)).first()[0] or 0
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host(url).alias("host"))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), valid(html).alias("html"), host(url).alias("host"))
     if size <= most_broadcast:
         joined = rows.join(F.broadcast(found.groupBy("host").agg(F.collect_list("node").alias("nodes"))), "host", "left")
     else:  # each page's own nodes, so that no row holds more than its page does

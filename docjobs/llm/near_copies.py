@@ -19,7 +19,7 @@ connected components of links. Every such pair is found, none by chance:
   all that are left: components that many similar pairs would join are joined by the few in an early part. No candidate
   is left out.
 
-Defined results: words are separated by the six ASCII white-space characters and A to Z are lower-cased, as in
+Defined results: bytes that are no UTF-8 count as U+FFFD; words are separated by the six ASCII white-space characters and A to Z are lower-cased, as in
 ``simhash``; texts of fewer words than a shingle have one shingle, texts without words the empty one, so they are alike;
 shingles and texts are told apart by 64-bit hashes. Exactly one row of each component stays: that with the smallest
 doc_id, null last, and of equal ids one by a hash of the text. An empty table gives an empty result; columns of any name
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docjobs.llm import simhash
-from docjobs.llm.common import drop_written, n_written, one_of_each, row_key, small_batches, stored, written
+from docjobs.llm.common import drop_written, n_written, one_of_each, row_key, small_batches, stored, valid, written
 
 SHINGLE, NUM, DEN = 5, 4, 5
 #: The sample that tells common shingles has so many documents, and one of PART at least, so that it grows with the corpus;
@@ -99,7 +99,7 @@ def _shingle_rows(k, batches):
 def common_shingles(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (ascending) that many documents of a sample share, and their ranks by that number."""
     part = min(PART, max(1, docs.count() // SAMPLE))
-    some = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(part)) == 0)
+    some = docs.select(valid(text).alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(part)) == 0)
     counts = some.mapInArrow(functools.partial(_shingle_rows, k), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
     top = counts.filter(F.col("n") >= LEAST_COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).collect()
     found = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
@@ -254,7 +254,7 @@ def similar_components(docs: DataFrame, text: str = "text", k: int = SHINGLE, ra
     """node (``xxhash64`` of a text), root (the smallest node of its component) for each text that is similar to another."""
     spark, first = docs.sparkSession, n_written()
     small_batches(spark)
-    texts = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
+    texts = docs.select(F.xxhash64(text).alias("node"), valid(text).alias("text"))
     shape = f"node long, fp long, n long, {', '.join(f'{s} long' for s in _SKETCH)}, prefix array<long>, wide binary"
     nodes = written(texts.mapInArrow(functools.partial(_node_rows, k, *common_shingles(docs, text, k)), shape), "nodes")
     if not nodes.groupBy("node").count().filter("count > 1").isEmpty():

@@ -2,9 +2,9 @@
 
 The global histogram of lengths goes to dynamic programming, which chooses the bucket boundaries with the least padding;
 then token-budget batches form inside each bucket: a bucket of width w holds max(1, budget // w) documents a batch.
-Batches are numbered over a whole bucket, in an order drawn from the document ids: the rows are dealt by bucket and
-stretch of that order, ranked there, and the stretches' bases are prefix sums of their counts, so no bucket meets in one
-task and at most one batch of a bucket is not full.
+Batches are numbered over a whole bucket, in an order drawn from the document ids: the rows are sorted by bucket and that
+order into stretches of equal size, ranked there, and the stretches' bases are prefix sums of their counts, so neither a
+bucket nor the rows of one id (or of none) meet in one task, and at most one batch of a bucket is not full.
 
 The histogram has a row for each different length and no bins, so the boundaries are optimal over all documents. It is
 counted before it is shuffled, and the driver sees it alone: D different lengths take texts of D * D / 2 words together at
@@ -28,7 +28,7 @@ from docjobs.llm.common import written
 
 BUCKETS, BUDGET = 8, 16_384
 #: Stretches of the order: about so many rows each, and so many stretches at most.
-STRETCH, MOST_STRETCHES = 2000, 1 << 16
+STRETCH, MOST_STRETCHES = 20_000, 1 << 16
 
 
 def n_words(text: str = "text") -> Column:
@@ -88,8 +88,9 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, doc_id:
     stretches = int(min(max(1, bins[:, 1].sum() // STRETCH), MOST_STRETCHES))
     wide = F.array(*[F.lit(w).cast("long") for w in widths]) if widths else F.array().cast("array<long>")
     below = F.size(F.filter(wide, lambda w: w < F.col("n")))
-    stretch = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * stretches / (1 << 32)).cast("int")
-    rows = lengths.withColumn("bucket", below).withColumn("width", F.get(wide, F.col("bucket"))).withColumn("stretch", stretch)
+    rows = lengths.withColumn("bucket", below).withColumn("width", F.get(wide, F.col("bucket"))).withColumn("tie", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(stretches, "bucket", "order", "doc_id", "n", "tie").drop("tie")  # rows that are alike spread too
+    rows = written(dealt.withColumn("stretch", F.spark_partition_id()), "stretches")  # fixed, as bases count on them
     counts = rows.groupBy("bucket", "stretch").agg(F.count("*").alias("c"))
     base = counts.withColumn("base", F.coalesce(F.sum("c").over(Window.partitionBy("bucket").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     own = F.row_number().over(Window.partitionBy("bucket", "stretch").orderBy("order", "doc_id", "n")) - 1

@@ -7,7 +7,7 @@ the documents left are searched with the expression itself. Rules without mandat
 Trigrams are of the bytes of UTF-8, and A to Z are folded to lower case, which only adds candidates; in queries each byte
 is written as the character of its number.
 
-Defined results: null and empty texts have no findings; repeated rows are searched each; offsets are code points of the
+Defined results: bytes that are no UTF-8 count as U+FFFD; null and empty texts have no findings; repeated rows are searched each; offsets are code points of the
 whole text, ends exclusive; an empty table gives an empty result; further columns are not looked at.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import small_batches
+from docjobs.llm.common import small_batches, valid
 
 #: Strings that a part of an expression may stand for, at most; beyond, it gives no trigrams.
 MOST_STRINGS = 64
@@ -217,7 +217,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
     """doc_id, spans (start, kind_no, kind, end; by start, then the rules' order) for each row of docs."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan(rules), f"doc_id {kind}, spans {_SPAN}")
+    return docs.select(F.col(doc_id).alias("doc_id"), valid(text).alias("text")).mapInArrow(_scan(rules), f"doc_id {kind}, spans {_SPAN}")
 
 
 def listed(spans: Column) -> Column:

@@ -16,7 +16,7 @@ classes are connected components of links. The work is on distinct fingerprints:
 * Components come from alternating large-star and small-star steps on Spark, each written to the shared folder.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint zero and are linked like any other;
-texts of fewer words than a shingle have one shingle; rows that repeat are evaluated each; a null doc_id is never the
+texts of fewer words than a shingle have one shingle; bytes that are no UTF-8 count as U+FFFD; rows that repeat are evaluated each; a null doc_id is never the
 smallest of a component unless all are null; ``near_dedup`` keeps exactly one row of each component, of equal ids one by
 a hash of the text; empty tables give empty results.
 """
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import drop, drop_written, n_written, one_of_each, row_key, small_batches, stored, written
+from docjobs.llm.common import drop, drop_written, n_written, one_of_each, row_key, small_batches, stored, valid, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that one key may bring together before it is dealt again by other bits.
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     """doc_id, fp (signed 64-bit), key (id and a hash of the text, for joins back to docs)."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), valid(text).alias("text"), row_key(doc_id, text).alias("key"))
     return rows.mapInArrow(functools.partial(_fingerprint_rows, k), f"doc_id {kind}, fp long, key string")
 
 

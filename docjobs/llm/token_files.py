@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.llm.common import shared_dir, small_batches
+from docjobs.llm.common import shared_dir, small_batches, valid
 
 #: Text pieces whose ids a worker remembers before it starts afresh: bounds its memory, changes no result.
 CACHED_PIECES = 1_000_000
@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             done.append(own.close())
         yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("width", pa.int32())]))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(valid(text), F.lit("")).alias("text"))
     ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     written = ranged.select("doc_id", "text").mapInArrow(shards, "shard string, docs long, tokens long, width int").collect()
     listed, start = [], 0

@@ -5,7 +5,9 @@ labels), hits near second-person words, capitals, punctuation, and obfuscated sp
 labelled rows (``TRAIN_ROWS``, chosen by a hash of the id, never a held-out row) fits the learned lexicon, the trees
 (Spark MLlib) and, on rows that the trees have not seen, the calibration; every document is then scored.
 
-Defined results: null and empty texts are scored from all-zero features; repeated rows get equal scores; labels that are
+Defined results: bytes that are no UTF-8 count as U+FFFD, and come back so; where the rows of the trees or of the calibration hold
+one label alone, but all rows both, the trees learn from all rows and the score is their own chance; where all rows have one label, so has every score;
+null and empty texts are scored from all-zero features; repeated rows get equal scores; labels that are
 null or have no document are not used; a document labelled more than once counts by its highest label; with no labels,
 or labels of one value, every score is that value (0 without any); an empty table gives an empty result; further
 columns are not looked at, and ``drop_toxic`` keeps them whatever their names.
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from docjobs.llm.common import columns, small_batches, written
+from docjobs.llm.common import columns, small_batches, valid, written
 from docjobs.llm.toxicity_features import feature_rows, term_rows
 
 #: Labelled rows that may train: the bound of the sample.
@@ -34,7 +36,7 @@ TIE = 1e-6
 
 def featured(docs: DataFrame, learned: dict[str, float], text: str = "text", keep_text: bool = False) -> DataFrame:
     """rest (a struct of docs' other columns), text (if kept) and x (the features), so that no name of the user's can clash."""
-    given = docs.select(F.col(text).alias("text"), F.struct(*columns(docs, text)).alias("rest"))
+    given = docs.select(valid(text).alias("text"), F.struct(*columns(docs, text)).alias("rest"))
     shape = [given.schema["rest"], *([given.schema["text"]] if keep_text else []), StructField("x", ArrayType(DoubleType()))]
     return given.mapInArrow(feature_rows(learned, keep_text), StructType(shape))
 
@@ -54,7 +56,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
     """Word beginnings that mark toxic documents, with their log odds; at most LEXICON of them."""
-    terms = train.select("text", "y").mapInArrow(term_rows, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    terms = train.select(valid("text").alias("text"), "y").mapInArrow(term_rows, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     total = train.agg(F.sum((F.col("y") > 0).cast("long")).alias("p"), F.sum((F.col("y") <= 0).cast("long")).alias("n")).first()
     p, n = float(total["p"] or 0), float(total["n"] or 0)
     if not p or not n:
@@ -81,12 +83,13 @@ class Scorer:
         try:
             seen = {(r["label"], r["own"]) for r in x.groupBy("label", (F.col("part") < 7).alias("own")).agg(F.count("*").alias("n")).collect()}
             self.constant = None
-            if len({y for y, own in seen if own}) < 2:
-                self.constant = max([y for y, _ in seen], default=0.0) if len({y for y, _ in seen}) < 2 else 0.0
+            if len({y for y, _ in seen}) < 2:
+                self.constant = max([y for y, _ in seen], default=0.0)
                 return
-            self.trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, minInstancesPerNode=3, seed=7, cacheNodeIds=False).fit(x.filter("part < 7"))
+            both = all(len({y for y, own in seen if own == part}) == 2 for part in (True, False))  # else nothing is left to calibrate with
+            self.trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, minInstancesPerNode=3, seed=7, cacheNodeIds=False).fit(x.filter("part < 7") if both else x)
             fresh = self.trees.transform(x.filter("part >= 7")).select("label", vector_to_array("probability")[1].alias("p"))
-            self.isotonic = IsotonicRegression(featuresCol="p", labelCol="label").fit(fresh) if len({y for y, own in seen if not own}) == 2 else None
+            self.isotonic = IsotonicRegression(featuresCol="p", labelCol="label").fit(fresh) if both else None
             self.least = 1 / (fresh.count() + 2)
         finally:
             x.unpersist()
