@@ -10,7 +10,7 @@ from docjobs.jobs import render as R
 from docjobs.operators import compliance, edits, graph, ids, invoices, merge, pages, retrieve, split, store, vector_index, verify
 from docjobs.sources import documents, results_log
 from docjobs.sources.shared import shared_folder
-from docjobs.streaming import batches
+from docjobs.streaming import batches, cache
 from docjobs.streaming import jobs as streaming
 
 FLAGSHIP = "d6_merge_results"
@@ -821,3 +821,14 @@ def i3b(spark, sf_dir):
     run = streaming.stream_cache_upsert(stream, path).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return streaming.read_cache(spark, path).select("user_id", "id", "record")
+
+
+@query("i3_stream_cache_deltas", f"WITH {_CACHE} SELECT user_id, id, record FROM cache")
+def i3_deltas(spark, sf_dir):
+    path = shared_folder(spark, "cache")
+    source = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    source.repartition(6, "ts").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    run = cache.stream_cache_append(stream, f"{path}/cache", every=4).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return cache.read_cache(spark, f"{path}/cache").select("user_id", "id", "record")

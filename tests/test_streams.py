@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docjobs.jobs import render as R
 from docjobs.operators.merge import merge_results
-from docjobs.streaming import batches, jobs
+from docjobs.streaming import batches, cache, jobs
 from tests.oracle import DATA
 
 START = datetime(2025, 3, 1)
@@ -108,3 +108,24 @@ def test_batches_close_reopen_and_restart(spark, tmp_path):
     want = merge_results(some.unionByName(rest.filter("batch_id < 6")).drop("arrived_at"))
     assert plain(second) == plain(want)
     assert {(r.batch_id < 6, r.revision) for r in second.select("batch_id", "revision").collect()} == {(True, 2), (False, 1)}
+
+
+def test_a_batch_writes_its_own_rows_to_a_large_cache(spark, tmp_path):
+    base = str(tmp_path / "cache")
+    records = lambda lo, hi, day, text: spark.range(lo, hi).selectExpr("id AS user_id", f"timestamp'2025-01-{day:02d}' AS ts", "id", f"concat('{text}', id) AS record", "60 AS confidence")
+    size = lambda names: sum(p.stat().st_size for n in names for p in (tmp_path / "cache").glob(f"{n}/*.parquet"))
+    cache.append_batch(records(0, 10, 2, "a"), 0, base, records(0, 50_000, 1, "first "), every=3)
+    cache.append_batch(records(5, 1005, 3, "b"), 1, base, every=3)
+    assert size(["delta-*"]) < size(["version-*"]) / 10
+    weak = records(0, 3, 9, "weak").withColumn("confidence", F.lit(50)).unionByName(records(0, 3, 1, "late"))
+
+    def want():
+        return {**{u: f"first {u}" for u in range(1005, 50_000)}, **{u: f"a{u}" for u in range(5)}, **{u: f"b{u}" for u in range(5, 1005)}}
+
+    assert {r.user_id: r.record for r in cache.read_cache(spark, base).collect()} == want()
+    cache.append_batch(records(5, 1005, 3, "b"), 1, base, every=3)  # repeated
+    cache.append_batch(weak, 2, base, every=3)  # compacts
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == ["version-000000000003"]
+    cache.append_batch(weak, 2, base, every=3)  # repeated after that
+    (tmp_path / "cache" / "version-000000000009").mkdir()  # a compaction that failed
+    assert {r.user_id: r.record for r in cache.read_cache(spark, base).collect()} == want()
