@@ -16,6 +16,10 @@ the pages that have the node, so on hosts with few pages the declaration decides
 it, either way. Branches that end below one half are removed from each page. Two things stay outside entropy's reach:
 comments of readers and forms, which differ from page to page as articles do, and scripts and styles.
 
+Below the main content a class name declares furniture only if all its words do (``cookie-notice``, ``comment-list``). One
+with other words in it (``feedback-loops``), or with words that titles and sections bear too (``post-header``, ``legal``),
+is no more than a hint: the element stays, unless the host's pages repeat it.
+
 The tree's statistics are aggregated by host, node and text, with partial sums before each shuffle, so a host with a third
 of all pages is no hot group. Only nodes where entropy overrules the declaration come back to the pages.
 
@@ -42,9 +46,10 @@ from docjobs.llm.common import small_batches, valid, written
 
 #: What is declared of an element: in the main content, a container below it, nothing, outside the page's main content,
 #: furniture; and a reader's or a form's, which entropy can't tell from an article.
-MAIN, INNER, OPEN, OUTSIDE, FURNITURE, READER = range(6)
+#: A hint is what only an ambiguous class name below the main content says.
+MAIN, INNER, OPEN, OUTSIDE, FURNITURE, READER, HINT = range(7)
 #: The importance that a declaration gives, and the pages that it is worth against what is measured.
-PRIORS = {MAIN: (1.0, 1000), INNER: (0.7, 64), OPEN: (0.5, 64), OUTSIDE: (0.0, 1000), FURNITURE: (0.0, 1000), READER: (0.0, None)}
+PRIORS = {MAIN: (1.0, 1000), INNER: (0.7, 64), OPEN: (0.5, 64), OUTSIDE: (0.0, 1000), FURNITURE: (0.0, 1000), READER: (0.0, None), HINT: (0.5, 8)}
 #: The measured importance at which a node is as likely furniture as not, and how steeply that changes around it.
 EVEN, STEEP = 0.95, 10.0
 #: The nodes where entropy overrules are sent to every executor up to so many bytes, and joined page by page beyond.
@@ -68,6 +73,9 @@ FURNITURE_NAMES = set(
     "skip copyright legal disclaimer tags".split()
 )
 READER_NAMES = set("comment comments commentlist reply replies respond disqus discussion feedback login hidden".split())
+#: Words that sections and titles of articles bear too, and words that say nothing about what an element is.
+AMBIGUOUS_NAMES = set("banner copyright disclaimer discussion feedback foot footer head header legal masthead rail related share skip social tags widget widgets".split())
+NEUTRAL_NAMES = set("area article bar block body box button buttons center col column container content entry form icon icons inner item items left link links list main outer page panel post posts reader right section site slot text title top bottom unit user wrap wrapper".split())
 MAIN_TAGS, MAIN_ROLES = {"article", "main"}, {"main", "article"}
 #: Names that make furniture of an element that is an article by its tag.
 NOT_MAIN_NAMES = {"related", "promo", "sponsored"}
@@ -94,10 +102,17 @@ class Element:
         return _hash(f"{self.kind}{self.path}")
 
 
+def _vague(words: list[str]) -> bool:
+    """Whether the words of a class name leave it open what the element is: some other than furniture's, or only ambiguous ones."""
+    said = [w for w in words if w not in NEUTRAL_NAMES]
+    return any(w not in FURNITURE_NAMES and w not in READER_NAMES for w in said) or all(w in AMBIGUOUS_NAMES for w in said)
+
+
 def _declared(tag: str, attrs: str, parent: Element) -> tuple[str, int]:
     """The label of an element in paths, and what is declared of it."""
-    names, label = [], tag
-    main, reader, furniture = tag in MAIN_TAGS, tag in READER_TAGS, tag in FURNITURE_TAGS or (tag == "header" and parent.kind not in (MAIN, INNER))
+    names, hints, label = [], [], tag
+    inside = parent.kind in (MAIN, INNER, HINT)
+    main, reader, furniture = tag in MAIN_TAGS, tag in READER_TAGS, tag in FURNITURE_TAGS or (tag == "header" and not inside)
     for key, value in _ATTR.findall(attrs) if attrs else ():
         key, value = key.lower(), value.strip("\"'")
         if key == "role":
@@ -108,7 +123,9 @@ def _declared(tag: str, attrs: str, parent: Element) -> tuple[str, int]:
             reader = True
         elif key in ("class", "id"):
             label += ("." if key == "class" else "#") + ".".join(sorted(value.split()))
-            names += [n.lower() for n in _NAME.findall(value)]
+            for name in value.split():
+                words = [n.lower() for n in _NAME.findall(name)]
+                (hints if inside and tag not in MAIN_TAGS and _vague(words) else names).extend(words)
     if tag not in ("html", "body"):
         reader |= not READER_NAMES.isdisjoint(names)
         furniture |= not (NOT_MAIN_NAMES if tag in MAIN_TAGS else FURNITURE_NAMES).isdisjoint(names)
@@ -116,7 +133,9 @@ def _declared(tag: str, attrs: str, parent: Element) -> tuple[str, int]:
         return label, READER
     if furniture or parent.kind == FURNITURE:
         return label, FURNITURE
-    if parent.kind == INNER or (parent.kind == MAIN and tag in CONTAINERS):
+    if inside and tag in BLOCKS and not (FURNITURE_NAMES | READER_NAMES).isdisjoint(hints):
+        return label, HINT
+    if parent.kind in (INNER, HINT) or (parent.kind == MAIN and tag in CONTAINERS):
         return label, INNER
     return label, MAIN if main or parent.kind == MAIN else OPEN
 

@@ -102,6 +102,9 @@ PAGES = [
     ("<ARTICLE><P>Upper</P><HR>next<pre>a\n  b</pre></ARTICLE>", "Upper\nnext\na b"),
     ("<article><button>Share</button><p>t &copy; &#233; &#x41;</p></article>", "t © é A"),
     ("<article><p></p><p> </p></article>", ""),
+    ("<article><h1 class='post-header'>Title</h1><p>Body <span class=legal>text</span>.</p></article>", "Title\nBody text."),
+    ("<article><p>a</p><div class=legal>b</div><section class='feedback-loops'><h2>c</h2><p>d</p></section><div id=related-work>e</div></article>", "a\nb\nc\nd\ne"),
+    ("<article><p>a</p><div class=ad>b</div><div class='share-buttons ad-slot'>c</div><div class=post-comments>d</div><ul class='nav menu'><li>e</ul><div class=legal><p class=newsletter-signup>f</div></article>", "a"),
     (None, ""), ("", ""),
 ]
 
@@ -138,6 +141,14 @@ def test_repeated_box_inside_articles(spark):
     assert out == {i: "one text" if i >= 900 else f"Head {i % 100}\nstory number {i % 100}" for i, _, _ in rows}
 
 
+def test_hints_inside_articles(spark):
+    body = "<article><h1 class='post-header'>Head {0}</h1><p>Story {0}</p><div class='legal'><p>All rights reserved</p></div><section class='feedback-loops'><p>Loop {0}</p></section></article>"
+    rows = [(i, f"http://many.example/{i}", body.format(i)) for i in range(12)] + [(99, "http://one.example/", body.format(99))]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    kept = "Head {0}\nStory {0}\n{1}Loop {0}"
+    assert out == {i: kept.format(i, "All rights reserved\n" if i == 99 else "") for i, _, _ in rows}
+
+
 def test_url_filter(spark):
     rnd = random.Random(3)
     day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
