@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docjobs.functions.text import normalize_text
 from docjobs.jobs import render as R
-from docjobs.operators import compliance, edits, graph, ids, invoices, merge, pages, retrieve, split, store, vector_index, verify
+from docjobs.operators import compliance, edits, excerpts, graph, ids, invoices, merge, pages, retrieve, sessions, split, store, vector_index, verify
 from docjobs.sources import documents, results_log
 from docjobs.sources.shared import shared_folder
 from docjobs.streaming import batches, cache
@@ -141,6 +141,20 @@ def c1_fuzzy(spark, sf_dir):
     return verify.verify_entity(df).select("doc_id", "claim", "check.result", F.round("check.score", 9).alias("score"), "check.method")
 
 
+def _altered(spark, sf_dir) -> DataFrame:
+    """Three stretches of each document as a claim may have them: a letter wrong here and there, a word too many, and as they are."""
+    docs = R.documents(spark, sf_dir).selectExpr("doc_id", "text", "cast(greatest(length(text) - 120, 0) as int) as room")
+    at = lambda k: F.substring("text", (F.col("room") * k / 4).cast("int") + 1, F.lit(100))
+    claims = F.array(F.regexp_replace(at(1), "(.{30}).", "$1#"), F.concat(F.substring(at(2), 1, 40), F.lit("et al. "), F.substring(at(2), 41, 60)), at(3))
+    return docs.select("doc_id", F.posexplode(claims).alias("ord", "value"))
+
+
+@query("c2_excerpts")
+def c2_excerpts(spark, sf_dir):
+    docs = R.documents(spark, sf_dir)
+    return excerpts.with_excerpts(_altered(spark, sf_dir), docs.select("doc_id", "text"))
+
+
 @query("c2_verify_clause")
 def c2(spark, sf_dir):
     df = R.invoice_texts(spark, sf_dir).selectExpr("doc_id", "text", "case when doc_id % 2 = 0 then substring(text, 9, 30) else upper(text) end as claim")
@@ -589,6 +603,35 @@ def g9(spark, sf_dir):
     return retrieve.chat_payloads(history, contexts).select("conv_id", "turn", "input", _said().alias("history"), F.md5(F.col("context").cast("binary")).alias("context"))
 
 
+_MESSAGES = "m AS (SELECT event_id AS id, user_id, ts, CASE WHEN event_id % 3 = 2 THEN 'assistant' ELSE 'user' END AS role, event_type || event_id AS text FROM events)"
+_SESSIONS = f"""WITH {_MESSAGES},
+o AS (SELECT *, CASE WHEN coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, true) THEN ts END AS opened FROM m WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)),
+s AS (SELECT *, max(opened) OVER (PARTITION BY user_id ORDER BY ts, id) AS session FROM o) """
+
+
+def _messages(spark, sf_dir) -> DataFrame:
+    role = F.when(F.col("event_id") % 3 == 2, "assistant").otherwise("user")
+    return R.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), role.alias("role"), F.concat("event_type", "event_id").alias("text"))
+
+
+def _second(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@query("g8_session_history", _SESSIONS + """, h AS (SELECT *, coalesce(string_agg(role || ':' || text, '|') OVER (PARTITION BY user_id, session ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS said FROM s)
+SELECT id, user_id, strftime(session, '%Y-%m-%d %H:%M:%S') AS session, text AS input, md5(said) AS history FROM h WHERE role = 'user'""")
+def g8_sessions(spark, sf_dir):
+    return sessions.session_history(_messages(spark, sf_dir), "6 hours").select("id", "user_id", _second("session").alias("session"), "input", _said().alias("history"))
+
+
+@query("g8_stream_sessions", _SESSIONS + """SELECT user_id, strftime(session, '%Y-%m-%d %H:%M:%S') AS session, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n, md5(string_agg(text, '|' ORDER BY ts, id)) AS said
+FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def g8_stream(spark, sf_dir):
+    out = _drained(spark, sf_dir, _messages(spark, sf_dir), lambda m: sessions.stream_sessions(m, "6 hours"))
+    said = F.md5(F.array_join(F.transform("messages", lambda m: m["text"]), "|").cast("binary"))
+    return out.select("user_id", _second("session").alias("session"), _second("last").alias("last"), "n", said.alias("said"))
+
+
 # H: cache and retention over events: every event asks, and leaves a record
 
 def _events(spark, sf_dir) -> DataFrame:
