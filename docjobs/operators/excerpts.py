@@ -40,32 +40,34 @@ def ends(claim: str, text: str, most: int, anchored: bool = False) -> tuple[int,
     return best if best[0] <= most else None
 
 
+def _grams(text: str) -> np.ndarray:
+    """A number for the seed at each place of a text; equal seeds have equal numbers."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(codes) - SEED + 1)
+    grams = np.zeros(n, np.uint64)
+    for i in range(SEED):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
+    return grams
+
+
 class Seeds:
     """Where the seeds of a text stand; looked up for many claims."""
 
     def __init__(self, text: str):
-        self.text = text
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        n = max(0, len(codes) - SEED + 1)
-        grams = np.zeros(n, np.uint64)
-        for i in range(SEED):
-            grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
-        self.order = np.argsort(grams, kind="stable")
+        self.text, grams = text, _grams(text)
+        self.order = np.argsort(grams)
         self.grams = grams[self.order]
 
-    def _regions(self, claim: str, most: int) -> list[tuple[int, int]]:
+    def _regions(self, claim: str, most: int, low: list[int], high: list[int]) -> list[tuple[int, int]]:
         """Stretches of the text that hold every span within most edits: of most + 1 pieces of the claim, one is left whole."""
-        m, own = len(claim), Seeds(claim)
-        back = np.empty(len(own.order), np.uint64)
-        back[own.order] = own.grams
-        found = []
+        m, found = len(claim), set()
         for k in range(most + 1):
             lo, hi = k * m // (most + 1), (k + 1) * m // (most + 1)
-            places = self.order[np.searchsorted(self.grams, back[lo], "left") : np.searchsorted(self.grams, back[lo], "right")]
-            piece = claim[lo:hi]
-            found += [p - lo for p in places.tolist() if self.text.startswith(piece, p)]
+            if low[lo] < high[lo]:
+                piece = claim[lo:hi]
+                found.update(p - lo for p in self.order[low[lo] : high[lo]].tolist() if self.text.startswith(piece, p))
         out: list[tuple[int, int]] = []
-        for start in sorted(set(found)):
+        for start in sorted(found):
             a, b = max(0, start - most), min(len(self.text), start + m + most)
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -76,11 +78,16 @@ class Seeds:
     def span(self, claim: str, share: float = SHARE) -> tuple[int, int, int] | None:
         """start, end, distance of the nearest span; of equal ones the first to end, then the shortest. None beyond the share."""
         limit = min(int(len(claim) * share), len(claim) // SEED - 1)
-        most = 0
+        if limit < 0:
+            return None
+        own, most = _grams(claim), 0
+        places = [np.searchsorted(self.grams, own, side).tolist() for side in ("left", "right")]
         while most <= limit:
-            hits = [(d[0], a + d[1], a) for a, b in self._regions(claim, most) if (d := ends(claim, self.text[a:b], most))]
+            hits = [(d[0], a + d[1]) for a, b in self._regions(claim, most, *places) if (d := ends(claim, self.text[a:b], most))]
             if hits:
-                distance, end, a = min(hits)
+                distance, end = min(hits)
+                if distance == 0:
+                    return end - len(claim), end, 0
                 back = ends(claim[::-1], self.text[max(0, end - len(claim) - distance) : end][::-1], distance, anchored=True)
                 return end - back[1], end, distance
             most = limit if most < limit < 2 * most + 1 else 2 * most + 1
