@@ -80,17 +80,20 @@ class Seeds:
         limit = min(int(len(claim) * share), len(claim) // SEED - 1)
         if limit < 0:
             return None
-        own, most = _grams(claim), 0
+        own = _grams(claim)
         places = [np.searchsorted(self.grams, own, side).tolist() for side in ("left", "right")]
-        while most <= limit:
-            hits = [(d[0], a + d[1]) for a, b in self._regions(claim, most, *places) if (d := ends(claim, self.text[a:b], most))]
-            if hits:
-                distance, end = min(hits)
-                if distance == 0:
-                    return end - len(claim), end, 0
+        whole = self._regions(claim, 0, *places)
+        if whole:  # word for word
+            return whole[0][0], whole[0][0] + len(claim), 0
+        most = min(1, limit)
+        while 0 < most <= limit:
+            near = [(d[0], a + d[1]) for a, b in self._regions(claim, most, *places) if (d := ends(claim, self.text[a:b], limit))]
+            distance, end = min(near, default=(limit + 1, 0))
+            if distance <= most:  # nothing within most is outside the stretches
                 back = ends(claim[::-1], self.text[max(0, end - len(claim) - distance) : end][::-1], distance, anchored=True)
                 return end - back[1], end, distance
-            most = limit if most < limit < 2 * most + 1 else 2 * most + 1
+            more = limit if most < limit < 2 * most + 1 else 2 * most + 1
+            most = distance if distance <= limit else more  # a span that is known bounds the nearest one
         return None
 
 
