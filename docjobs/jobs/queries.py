@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docjobs.functions.text import normalize_text
 from docjobs.jobs import render as R
-from docjobs.operators import compliance, edits, excerpts, graph, ids, invoices, merge, pages, retrieve, sessions, split, store, vector_index, verify
+from docjobs.operators import compliance, edits, excerpts, graph, ids, invoices, merge, pages, retrieve, sessions, split, store, stored_index, vector_index, verify
 from docjobs.sources import documents, results_log
 from docjobs.sources.shared import shared_folder
 from docjobs.streaming import batches, cache
@@ -506,6 +506,19 @@ def g3(spark, sf_dir):
     return retrieve.add_documents(df.filter("doc_id % 3 <> 0"), df.filter("doc_id % 3 = 0"), ["doc_id", "chunk_no"]).drop("text")
 
 
+@query("g3_stored_index", f"""WITH {_CHUNKS}, f AS (SELECT *, {_FP} AS fp, 1 + doc_id % 3 AS load FROM chunks),
+n AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY fp ORDER BY load, doc_id, chunk_no) = 1)
+SELECT load::INT AS load, doc_id, chunk_no, fp, sha256(text) AS digest FROM n""")
+def g3_stored(spark, sf_dir):
+    """All chunks in three appends, then the whole of them once more, which adds nothing; what the index then holds."""
+    chunks = _fingerprinted(spark, sf_dir).withColumn("load", (F.col("doc_id") % 3 + 1).cast("int"))
+    path = shared_folder(spark, "stored-index")
+    for load in (1, 2, 3):
+        stored_index.add_to_index(chunks.filter(F.col("load") == load), path, ["doc_id", "chunk_no"])
+    again = stored_index.add_to_index(chunks, path, ["doc_id", "chunk_no"])
+    return stored_index.read_index(spark, path).unionByName(again).select("load", "doc_id", "chunk_no", "fp", F.sha2("text", 256).alias("digest"))
+
+
 @query("g4_load_or_create", f"WITH {_CHUNKS} SELECT doc_id, chunk_no, {_FP} AS fp FROM chunks")
 def g4(spark, sf_dir):
     path = shared_folder(spark, "index")
