@@ -89,21 +89,24 @@ def add_to_index(new: DataFrame, path: str, order: list[str], rows_per_partition
     The same rows as ``retrieve.add_documents`` gives. An index that doesn't exist yet has no rows. Rows with a null fp
     equal no stored row: of those that an append brings, the first is added. Columns besides fp may have any name and
     must be of the same type in every append. What is added is what stands in the table, so it can be read again.
+
+    Fingerprints alone are looked up, so new is computed twice (it must give the same rows both times) and texts move only
+    if there is something to add: once to their fingerprint, combined in the map tasks, and once to their partition.
     """
     spark, stage = new.sparkSession, shared_folder(new.sparkSession, "append")
     columns = [c for c in new.columns if c != "fp"]
     row = F.struct(*(F.col(f"`{c}`") for c in columns))
-    new.select("fp", row.alias("row"), F.struct(*order).alias("o")).groupBy("fp").agg(F.min_by("row", "o").alias("row")).write.parquet(f"{stage}/first")
-    first = spark.read.parquet(f"{stage}/first")
-    may_be_known(spark, first, path).write.parquet(f"{stage}/maybe")
+    new.select("fp").distinct().write.parquet(f"{stage}/asked")
+    asked = spark.read.parquet(f"{stage}/asked")
+    may_be_known(spark, asked, path).write.parquet(f"{stage}/maybe")
     maybe = spark.read.parquet(f"{stage}/maybe")
     parts = maybe.select("gen", "part").distinct().collect()  # names of partitions
+    first = new.select("fp", row.alias("row"), F.struct(*order).alias("o")).groupBy("fp").agg(F.min_by("row", "o").alias("row"))
+    n, added = asked.count(), first
     if parts:
         maybe.join(stored_rows(spark, path, parts), ["gen", "part", "fp"], "left_semi").select("fp").distinct().write.parquet(f"{stage}/known")
         known = spark.read.parquet(f"{stage}/known")
-        n, added = first.count() - known.count(), first.join(known, "fp", "left_anti")
-    else:
-        n, added = first.count(), first
+        n, added = n - known.count(), first.join(known, "fp", "left_anti")  # by the partitioning that the grouping leaves
     out = spark.createDataFrame([], first.schema)
     if n:
         gen = _append(spark, added, path, n, rows_per_partition, [])
