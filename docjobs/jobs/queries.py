@@ -711,14 +711,14 @@ def a1(spark, sf_dir):
     return out.groupBy(F.col("metadata.model").alias("model"), "model_dir").agg(F.count("*").alias("n"), F.round(F.sum("metadata.duration_seconds"), 2).alias("seconds"))
 
 
-_SOURCED = "SELECT event_id::BIGINT AS number, event_type AS model_dir, round(value, 4) AS duration_seconds, NULL::VARCHAR AS unfit FROM events"
+_FROM_LOG = "SELECT event_id::BIGINT AS number, event_type AS model_dir, round(value, 4) AS duration_seconds, NULL::VARCHAR AS unfit FROM events"
 
 
-def _sourced(df: DataFrame) -> DataFrame:
+def _from_log(df: DataFrame) -> DataFrame:
     return df.select(F.col("extraction.invoice_details.number").cast("long").alias("number"), "model_dir", "metadata.duration_seconds", "unfit")
 
 
-@query("a1_results_source", f"SELECT *, model_dir = 'error' AS alert FROM ({_SOURCED})")
+@query("a1_results_source", f"SELECT *, model_dir = 'error' AS alert FROM ({_FROM_LOG})")
 def a1_source(spark, sf_dir):
     """The log read by its own data source, alerts by a pushed filter and the rest by option, which folder names answer."""
     path = shared_folder(spark, "results")
@@ -726,10 +726,10 @@ def a1_source(spark, sf_dir):
     models = [r[0] for r in R.table(spark, sf_dir, "events").select("event_type").distinct().collect()]  # a folder each
     alerts = log_source.results_source(spark, push=True).load(path).filter("model_dir = 'error'")
     rest = log_source.results_source(spark, models=[m for m in models if m != "error"]).load(path)
-    return _sourced(alerts).withColumn("alert", F.lit(True)).unionByName(_sourced(rest).withColumn("alert", F.lit(False)))
+    return _from_log(alerts).withColumn("alert", F.lit(True)).unionByName(_from_log(rest).withColumn("alert", F.lit(False)))
 
 
-@query("a1_stream_results", _SOURCED)
+@query("a1_stream_results", _FROM_LOG)
 def a1_stream(spark, sf_dir):
     """The log read by its own data source as a stream that is stopped and started again; each record comes once."""
     path = shared_folder(spark, "results")
@@ -737,7 +737,7 @@ def a1_stream(spark, sf_dir):
     half = F.pmod(F.xxhash64("metadata.filename"), F.lit(2))
     for part in (0, 1):
         results_log.write_results_log(log.filter(half == part), f"{path}/log")
-        stream = _sourced(log_source.results_source(spark, stream=True).option("settleSeconds", 0).load(f"{path}/log"))
+        stream = _from_log(log_source.results_source(spark, stream=True).option("settleSeconds", 0).load(f"{path}/log"))
         stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
