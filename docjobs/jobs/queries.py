@@ -287,7 +287,7 @@ d6 AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY kind, start.a
 
 
 def _grouped(spark, sf_dir, steps: int) -> DataFrame:
-    df = R.page_results(spark, sf_dir).repartition("batch_id")
+    df = merge.deal(R.page_results(spark, sf_dir))
     for f in (merge.group_by_invoice_number, merge.attach_orphans_by_total, merge.group_shift_reports, merge.attach_headerless_pages)[:steps]:
         df = f(df)
     return df

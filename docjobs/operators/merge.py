@@ -13,6 +13,8 @@ from docjobs.functions.text import strip
 from docjobs.schemas import SHIFT_FIELDS
 
 INVOICE_GROUP, SHIFT_GROUP, SINGLE = 0, 1, 2
+#: Pages that a task is meant to hold; each of its windows sorts them.
+ROWS = 1 << 17
 #: The key of the group that headerless shift pages form where no page has both date and vendor.
 SYNTHETIC = ("Unknown Date", "Shift Report")
 
@@ -23,6 +25,12 @@ def _truthy(c):
     return F.coalesce(c, F.lit("")) != ""
 
 
+def deal(pages: DataFrame, n_pages: int | None = None) -> DataFrame:
+    """The pages dealt by batch over as many tasks as their number asks for (they are counted if it is not given)."""
+    n = pages.count() if n_pages is None else n_pages
+    return pages.repartition(max(pages.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS)), "batch_id")
+
+
 def group_by_invoice_number(pages: DataFrame) -> DataFrame:
     """Pages with data, plus num_key, first_pos and total. A number of white space alone groups under ''."""
     raw = F.trim(F.coalesce(F.col("data_json"), F.lit("")))
@@ -108,10 +116,9 @@ def merge_group(pages: DataFrame) -> DataFrame:
     )
 
 
-def merge_results(pages: DataFrame) -> DataFrame:
+def merge_results(pages: DataFrame, n_pages: int | None = None) -> DataFrame:
     """One record per document; out_pos gives the order in a batch: invoice groups, shift groups, single pages."""
-    dealt = pages.repartition("batch_id")
-    grouped = attach_headerless_pages(group_shift_reports(attach_orphans_by_total(group_by_invoice_number(dealt))))
+    grouped = attach_headerless_pages(group_shift_reports(attach_orphans_by_total(group_by_invoice_number(deal(pages, n_pages)))))
     # invoice groups stand in the order of their first pages, the others in that of their totals
     place = Window.partitionBy("batch_id").orderBy("kind", F.col("start.stage"), F.col("start.ord1"), F.col("start.pos"))
     return merge_group(grouped).withColumn("out_pos", F.row_number().over(place) - 1).drop("start", "group_key")

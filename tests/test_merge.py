@@ -4,8 +4,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from docjobs.operators.merge import merge_counts, merge_results
+from docjobs.operators.merge import ROWS, deal, merge_counts, merge_results
 from docjobs.schemas import PAGE_RESULT
 
 
@@ -103,3 +104,10 @@ def test_random_batches(spark):
     rows, _ = merged(spark, pages)
     for b in range(60):
         assert names([r for r in rows if r.batch_id == b]) == walk([p for p in pages if p["batch_id"] == b])
+
+
+def test_tasks_grow_with_the_pages(spark):
+    """Few batches and many more pages than a task is meant to hold: no task has more than its share, whatever the session merges."""
+    pages = spark.range(1 << 20).selectExpr("id div 8 as batch_id", "cast(id % 8 as int) as pos")
+    parts = [r["n"] for r in deal(pages).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(parts) == 1 << 20 and len(parts) >= 8 and max(parts) < 1.2 * ROWS
