@@ -885,10 +885,11 @@ def d6_stream(spark, sf_dir):
     # pages of a batch arrive in three loads, the last of them after the batch has closed once; then a page of no batch moves the clock
     arrival = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("load") * 7200 + F.when(F.col("load") == 1, -7000).otherwise(0) + F.col("pos"))
     timed = rows.withColumn("load", F.col("pos") % 3).withColumn("arrived_at", arrival)
+    files = spark.sparkContext.defaultParallelism  # of a load, which a trigger takes together
     for load in range(3):
-        timed.filter(F.col("load") == load).drop("load").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        timed.filter(F.col("load") == load).drop("load").repartition(files).write.mode("append").parquet(f"{base}/in")
     timed.limit(1).withColumns({"batch_id": F.lit(None).cast("long"), "arrived_at": F.timestamp_seconds(F.lit(1_800_000_000))}).drop("load").write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(timed.drop("load").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream = spark.readStream.schema(timed.drop("load").schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     batches.stream_merge(stream, f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return _flat(batches.read_merged(spark, f"{base}/out"), "out_pos")
 

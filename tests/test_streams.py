@@ -129,3 +129,17 @@ def test_a_batch_writes_its_own_rows_to_a_large_cache(spark, tmp_path):
     cache.append_batch(weak, 2, base, every=3)  # repeated after that
     (tmp_path / "cache" / "version-000000000009").mkdir()  # a compaction that failed
     assert {r.user_id: r.record for r in cache.read_cache(spark, base).collect()} == want()
+
+
+def test_state_of_batches_has_their_times_alone(spark, tmp_path):
+    """No Python runs for a batch, and a pause of keep makes a batch begin anew, as a later revision."""
+    shape = "batch_id long, pos int, arrived_at timestamp, text string"
+    spark.createDataFrame([], shape).write.parquet(f"{tmp_path}/in")
+    stream = batches.pages_and_closings(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"))
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+    run.awaitTermination()
+    assert "Pandas" not in stream._jdf.queryExecution().analyzed().toString() and {"page", "start", "end", "n"} < set(stream.columns)
+    at = lambda d: START + timedelta(days=d)
+    rows = [(1, at(0), at(0), 2, 0), (1, at(20), at(21), 1, 3), (1, at(90), at(91), 1, 5), (2, at(1), at(1), 1, 3)]
+    chains = batches._chains(spark.createDataFrame(rows, "batch_id long, start timestamp, end timestamp, n long, epoch long"), "30 days")
+    assert sorted((r.batch_id, r.epoch, r.since, r.revision) for r in chains.collect()) == [(1, 0, at(0), 1), (1, 3, at(0), 2), (1, 5, at(90), 3), (2, 3, at(1), 1)]
