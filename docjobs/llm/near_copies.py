@@ -6,10 +6,10 @@ connected components of links. Every such pair is found, none by chance:
 * First SimHash by generalised pigeonhole (``simhash.links``) on the 64-bit fingerprints of the same shingles: its links,
   verified on the whole sets, join the closest copies, and large groups of them, without bringing them together again.
 * Fingerprints of similar documents differ in up to 15 bits (see the README), beyond the radius of any selective probe.
-  So prefixes complete the search. Shingles have one order for all documents: those that are common in a sample come
-  last, the others by hash. Sets of n shingles that reach the threshold share one of their first
-  n - ceil(n * NUM / DEN) + 1 (the prefix). The sample decides only how many candidates there are, as the argument holds
-  for any order.
+  So prefixes complete the search. Shingles have one order for all documents: those of crowded buckets come last, by how
+  many shingles of all documents fall on their bucket (a hash), the others by hash. Sets of n shingles that reach the
+  threshold share one of their first n - ceil(n * NUM / DEN) + 1 (the prefix). The counts decide only how many candidates
+  there are, as the argument holds for any order.
 * Prefixes are dealt by shingle, and shingles of one document are dropped. Documents that meet are candidates unless
   they are joined already, or their sizes, the place where they meet or their parity sketches exclude the threshold (a
   shingle flips its bit: sketches can't differ in more bits than the sets differ in shingles).
@@ -40,9 +40,8 @@ from docjobs.llm import simhash
 from docjobs.llm.common import drop_written, n_written, one_of_each, row_key, small_batches, stored, valid, written
 
 SHINGLE, NUM, DEN = 5, 4, 5
-#: The sample that tells common shingles has so many documents, and one of PART at least, so that it grows with the corpus;
-#: how many shingles it may name, from how many of its documents on.
-SAMPLE, PART, MOST_COMMON, LEAST_COMMON = 4_000, 64, 1 << 16, 4
+#: Buckets that shingles are counted in, and how far above the mean (in its square root, and at least) a crowded one is.
+BUCKETS, ABOVE, LEAST_COMMON = 1 << 20, 5, 4
 #: The parts of the candidates that one round after the other compares, as bounds of the pairs' hashes.
 PARTS = (0.0, 1 / 256, 1 / 16, 1.0)
 #: Rows of (shingle, document) that a task pairs at once.
@@ -76,12 +75,17 @@ def may_be_similar(a: bytes, b: bytes, both: int) -> bool:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) * (DEN + NUM) <= (DEN - NUM) * both
 
 
-def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles of which a similar set must hold one: the first of the order (common ascending, rank beside it)."""
+def buckets(own: np.ndarray) -> np.ndarray:
+    return own >> np.uint64(44)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, of=None) -> np.ndarray:
+    """The shingles of which a similar set must hold one: the first of the order (common ascending, rank beside it; with of, common has what it gives for a shingle)."""
     late = np.zeros(len(own), np.int64)
     if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        late = np.where(common[at] == own, rank[at] + 1, 0)
+        key = own if of is None else of(own)
+        at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+        late = np.where(common[at] == key, rank[at] + 1, 0)
     n = len(own)
     return own[np.lexsort((own, late))[: n - (n * NUM + DEN - 1) // DEN + 1]]
 
@@ -90,28 +94,35 @@ def _signed(x) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
 
-def _shingle_rows(k, batches):
+def _bucket_rows(k, batches):
+    counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for t in batch.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([_signed(shingles(t, k))], names=["shingle"])
+            np.add.at(counts, buckets(shingles(t, k)).astype(np.int64), 1)
+    full = np.flatnonzero(counts)
+    for at in range(0, len(full), 1 << 16):
+        some = full[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], names=["bucket", "n"])
 
 
-def common_shingles(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (ascending) that many documents of a sample share, and their ranks by that number."""
-    part = min(PART, max(1, docs.count() // SAMPLE))
-    some = docs.select(valid(text).alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(part)) == 0)
-    counts = some.mapInArrow(functools.partial(_shingle_rows, k), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    top = counts.filter(F.col("n") >= LEAST_COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).collect()
-    found = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(found)
-    return found[order], (len(top) - np.arange(len(top)))[order]
+def crowded_buckets(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (ascending) on which many shingles of all documents fall, and their ranks by that number.
+
+    Every document counts. A task adds its own up, so a few bytes for each task and bucket are moved whatever it reads.
+    """
+    counts = docs.select(valid(text).alias("text")).mapInArrow(functools.partial(_bucket_rows, k), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = written(counts, "bucket-counts")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    top = counts.filter(F.col("n") >= max(LEAST_COMMON, mean + ABOVE * mean**0.5)).orderBy("bucket").toArrow()  # some of BUCKETS rows
+    n = top.column("n").to_numpy()
+    return top.column("bucket").to_numpy().astype(np.uint64), np.argsort(np.argsort(n, kind="stable"), kind="stable")
 
 
 def _node_rows(k, common, rank, batches):
     for batch in batches:
         sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
         sketches = np.array([sketch(own) for own in sets], np.uint64).reshape(-1, 4)
-        first = [prefix(own, common, rank).view(np.int64) for own in sets]
+        first = [prefix(own, common, rank, buckets).view(np.int64) for own in sets]
         fp = _signed([simhash.majority(own) for own in sets])
         yield pa.RecordBatch.from_arrays([batch.column(0), fp, pa.array(map(len, sets), pa.int64()), *map(_signed, sketches.T), pa.array(first, pa.list_(pa.int64())), pa.array(map(wide_sketch, sets), pa.binary())], names=["node", "fp", "n", *_SKETCH, "prefix", "wide"])
 
@@ -256,7 +267,7 @@ def similar_components(docs: DataFrame, text: str = "text", k: int = SHINGLE, ra
     small_batches(spark)
     texts = docs.select(F.xxhash64(text).alias("node"), valid(text).alias("text"))
     shape = f"node long, fp long, n long, {', '.join(f'{s} long' for s in _SKETCH)}, prefix array<long>, wide binary"
-    nodes = written(texts.mapInArrow(functools.partial(_node_rows, k, *common_shingles(docs, text, k)), shape), "nodes")
+    nodes = written(texts.mapInArrow(functools.partial(_node_rows, k, *crowded_buckets(docs, text, k)), shape), "nodes")
     if not nodes.groupBy("node").count().filter("count > 1").isEmpty():
         texts, nodes = texts.dropDuplicates(["node"]), written(nodes.dropDuplicates(["node"]), "nodes")
     found, folder = spark.createDataFrame([], "node long, root long"), None

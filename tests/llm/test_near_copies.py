@@ -128,3 +128,17 @@ def test_one_row_of_each_group_stays(spark, dedup):
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], SHAPE).repartition(3)
     left = dedup(docs).collect()
     assert sorted((str(r.doc_id), r.text.lower().split()[0], len(r.text) == 70) for r in left) == [("3", "b0", True), ("3", "c0", False), ("7", "a0", False), ("None", "b0", False)]
+
+
+def test_order_of_shingles_comes_from_all_documents(spark):
+    """Shingles that stand only in documents which a sample by hash would leave out are known as common all the same."""
+    texts = [f"{' '.join(f'x{i}y{j}' for j in range(12))} a passage that all of them share" for i in range(300)]
+    crowded, rank = near_copies.crowded_buckets(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    passage = near_copies.shingles("a passage that all of them share")
+    at = np.searchsorted(crowded, near_copies.buckets(passage))
+    assert (crowded[at] == near_copies.buckets(passage)).all() and set(rank[at]) >= set(range(len(rank) - 3, len(rank)))
+    sets = [near_copies.shingles(t) for t in texts]
+    want = np.bincount(np.concatenate([near_copies.buckets(s) for s in sets]).astype(np.int64), minlength=near_copies.BUCKETS)
+    assert crowded.tolist() == np.flatnonzero(want >= near_copies.LEAST_COMMON).tolist()
+    own = near_copies.prefix(sets[0], crowded, rank, near_copies.buckets)
+    assert len(own) and not set(own.tolist()) & set(passage.tolist())
