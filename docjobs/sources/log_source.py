@@ -9,6 +9,7 @@ Files are listed by the driver, as Spark's own sources do, and read whole in tas
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import time
@@ -98,24 +99,40 @@ def fit(value, kind: T.DataType, at: str, unfit: dict):
     return None
 
 
-def _values(data: bytes) -> Iterator:
-    """The records of a file: a record, a list of them, or one a line; text that is no JSON comes as it is."""
-    text = data.decode("utf-8", "replace").removeprefix("\ufeff")
+def _values(file: io.BufferedIOBase) -> Iterator:
+    """The records of a file: a record, a list of them, or one a line; text that is no JSON comes as it is.
+
+    A file of a record a line is read line by line, so that its size is not held.
+    """
+    lines = io.TextIOWrapper(file, "utf-8", "replace", newline="\n")
+    text = head = lines.readline().removeprefix("\ufeff")
+    while head and not head.strip():
+        text += (head := lines.readline())
+    if head.lstrip().startswith("{") and _is_json(head):
+        while line := lines.readline():
+            if line.strip():
+                break
+            text += line
+        if line:
+            yield json.loads(head)
+        while line:
+            if line.strip():
+                line = line.removesuffix("\n")
+                try:
+                    yield json.loads(line)
+                except ValueError:
+                    yield line
+            line = lines.readline()
+            if not line:
+                return
+    text += lines.read()
     if not text.strip():
         return
     try:
         whole = json.loads(text)
         yield from whole if isinstance(whole, list) else [whole]
     except ValueError:
-        lines = [line for line in text.split("\n") if line.strip()]
-        if not lines[0].lstrip().startswith("{") or len(lines) == 1 or not _is_json(lines[0]):
-            yield text
-            return
-        for line in lines:
-            try:
-                yield json.loads(line)
-            except ValueError:
-                yield line
+        yield text
 
 
 def _is_json(text: str) -> bool:
@@ -155,12 +172,11 @@ class _Reading:
         fs, rows = pafs.FileSystem.from_uri(self.uri)[0], []
         for file in partition.files:
             with fs.open_input_stream(file.path) as f:
-                data = f.read()
-            for value in _values(data):
-                rows.append(_row(value, file, self.kinds))
-                if len(rows) == RECORDS:
-                    yield pa.RecordBatch.from_pylist(rows, self.arrow)
-                    rows = []
+                for value in _values(f):
+                    rows.append(_row(value, file, self.kinds))
+                    if len(rows) == RECORDS:
+                        yield pa.RecordBatch.from_pylist(rows, self.arrow)
+                        rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, self.arrow)
 

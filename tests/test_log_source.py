@@ -3,7 +3,9 @@
 import json
 import os
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,16 @@ def test_written_logs(spark, tmp_path):
     df = log_source.results_source(spark).load(str(tmp_path / "log"))
     assert df.filter("model_dir = 'm1'").agg(F.count("*"), F.sum("metadata.duration_seconds")).first()[:] == (167, sum(i / 8 for i in range(1, 500, 3)))
     assert [r.model_dir for r in df.filter("model_dir = 'a/b c'").collect()] == ["a/b c"]
+
+
+def test_files_of_lines_are_read_line_by_line():
+    """What a record a line takes in memory does not grow with the file."""
+    data = b'{"metadata":{"filename":"f","model":"m"},"extraction":null}\n' * 100_000
+    tracemalloc.start()
+    n = sum(v["metadata"]["model"] == "m" for v in log_source._values(pa.BufferReader(data)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 100_000 and peak < 1 << 20
+    values = lambda text: list(log_source._values(pa.BufferReader(text.encode())))
+    assert values('\n{"a": 1}\n\n {"b": 2}\nno\n') == [{"a": 1}, {"b": 2}, "no"]
+    assert values('\ufeff[\n{"a": 1}, 2]') == [{"a": 1}, 2] and values('{\n"a": 1}\n') == [{"a": 1}] and values('\n{"a": 1} x\n') == ['\n{"a": 1} x\n'] and values(" \n") == values("") == []
