@@ -4,6 +4,7 @@ import difflib
 import os
 import random
 import re
+import time
 
 import pytest
 
@@ -120,3 +121,27 @@ def test_cases_of_verification(spark):
     made = "This agreement is made with International Business Machines Incorporated."
     r = verify.verify_entity(spark.createDataFrame([("IBM", made)], "claim string, text string")).first().check
     assert (r.result, r.method) == ("fail", "fuzzy") and r.score == pytest.approx(7.894736842105263)
+
+
+def test_scores_around_the_length_of_popular_characters():
+    rnd = random.Random(8)
+    for n in (0, 1, 2, 198, 199, 200, 201):
+        for letters in ("a", "ab", "abcdefghij KLMNOP0123"):
+            text = "".join(rnd.choices(letters, k=n))
+            for claim in (text, text.upper(), text[::-1], text[3:90] + "!" + text[100:], "", "a", "é" * 300 + text[:50]):
+                assert Matcher(text).score(claim) == ratio(claim, text), (n, claim)
+
+
+def test_short_texts_are_scored_faster_than_by_the_standard_library():
+    texts = [f"  \n Vendor {i} \nInvoice No: INV-{i * 7}\nInvoice Date: 10/{i % 28 + 1}/1997\nGrand Total $ 1,{i * 991}.08" for i in range(300)]
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            for t in texts:
+                f(t.upper() + " and more", t)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda a, b: Matcher(b).score(a)) < 0.7 * seconds(ratio)
