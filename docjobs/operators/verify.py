@@ -71,13 +71,17 @@ def quick_verify(checks: DataFrame, docs: DataFrame) -> DataFrame:
     scores once for them all.
     """
     some = checks.groupBy("doc_id", F.floor(F.col("ord") / TOGETHER).alias("part")).agg(F.collect_list(F.struct("ord", "id", "type", "value")).alias("claims"))
-    joined = some.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").withColumn("normal", normalize_text(F.col("text")))
+    joined = some.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    entity = lambda c: c["type"] != "clause_change"
+    exact = lambda c: F.col("text").contains(c["value"])
 
-    def seen(c: Column) -> Column:
-        norm = normalize_text(c["value"])
-        return F.struct(c["ord"].alias("ord"), c["id"].alias("id"), c["type"].alias("type"), c["value"].alias("value"), (c["type"] != "clause_change").alias("entity"), (norm == "").alias("none"), F.col("text").contains(c["value"]).alias("exact"), F.col("normal").contains(norm).alias("normal"))
+    def seen(c: Column, normal: Column) -> Column:
+        none = ~F.lower(F.coalesce(c["value"], F.lit(""))).rlike("[a-z0-9]")  # an empty text when normalised
+        return F.struct(c["ord"].alias("ord"), c["id"].alias("id"), c["type"].alias("type"), c["value"].alias("value"), entity(c).alias("entity"), none.alias("none"), exact(c).alias("exact"), F.when(entity(c) & ~exact(c), normal.contains(normalize_text(c["value"]))).otherwise(False).alias("normal"))
 
-    looked = joined.select("doc_id", "text", F.transform("claims", seen).alias("claims"))
+    asks = F.exists("claims", lambda c: entity(c) & ~exact(c))
+    once = F.array(F.when(asks, normalize_text(F.col("text"))))  # a plain column would be inlined, and computed for each claim
+    looked = joined.select("doc_id", "text", F.get(F.transform(once, lambda normal: F.transform("claims", lambda c: seen(c, normal))), F.lit(0)).alias("claims"))
     open_ = lambda c: ~c["exact"] & ~(c["entity"] & (c["none"] | c["normal"]))
     asked = F.transform("claims", lambda c: F.when(open_(c), c["value"]))
     scored = looked.withColumn("scores", fuzzy_scores(asked, F.when(F.exists("claims", open_), F.col("text"))))

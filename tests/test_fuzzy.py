@@ -145,3 +145,15 @@ def test_short_texts_are_scored_faster_than_by_the_standard_library():
         return min(took)
 
     assert seconds(lambda a, b: Matcher(b).score(a)) < 0.7 * seconds(ratio)
+
+
+def test_a_text_is_normalised_once_for_its_claims(spark):
+    from docjobs.operators import verify
+
+    checks = [(1, 0, "a", "party_name", "Acme  Ltd"), (1, 1, "b", "party_name", "?!"), (1, 2, "c", "address", "ACME"), (1, 3, "d", "clause_change", "Rent: 5"), (1, 4, "e", "clause_change", "RENT: 5"), (2, 0, "a", "party_name", "Acme"), (2, 1, "b", "clause_change", "K"), (2, 2, "c", "address", "K")]
+    docs = [(1, "Acme Ltd. Rent: 5"), (2, None)]
+    out = verify.quick_verify(spark.createDataFrame(checks, "doc_id long, ord int, id string, type string, value string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    texts = {i: t or "" for i, t in docs}
+    same({(r.doc_id, r.id): (r.result, r.score, r.method) for r in out.collect()}, {(i, k): (clause if kind == "clause_change" else entity)(v, texts[i]) for i, _, k, kind, v in checks})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and not re.search(r"contains\(trim\(\w*regexp_replace", plan, re.IGNORECASE)  # not inside the lambda of each claim
