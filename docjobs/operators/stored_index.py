@@ -20,6 +20,8 @@ from docjobs.sources.shared import drop_folder, folder_exists, shared_folder
 
 #: Rows that a partition is meant to hold, bits of its filter for each row, and bits that a row sets in its block.
 ROWS, PER_ROW, SET = 1 << 20, 24, 5
+#: Rows that a task of an append is meant to take; a partition is written by as many tasks as its rows ask for.
+TASK_ROWS = 1 << 16
 GENERATIONS = "gen string, at timestamp, partitions long, blocks long, n_rows long, replaces array<string>"
 
 
@@ -50,7 +52,9 @@ def _append(spark: SparkSession, rows: DataFrame, path: str, n_rows: int, rows_p
     gen, partitions = "g" + uuid.uuid4().hex, max(1, -(-n_rows // rows_per_partition))
     blocks = max(1, -(-n_rows * PER_ROW // (64 * partitions)))
     of_gen = f"{path}/{{}}/gen={gen}"
-    rows.withColumn("part", _part(F.lit(partitions))).repartition("part").write.partitionBy("part").parquet(of_gen.format("rows"))
+    each = max(1, -(-n_rows // (partitions * TASK_ROWS)))  # tasks of a partition; numbered, as a hash would send some to one task
+    task = (_part(F.lit(partitions)) * each + F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(each))).cast("int")
+    rows.withColumn("part", _part(F.lit(partitions))).repartitionById(partitions * each, task).write.partitionBy("part").parquet(of_gen.format("rows"))
     stored = spark.read.schema("fp string, part long").parquet(of_gen.format("rows"))
     bits = stored.groupBy("part", _block(F.lit(blocks)).alias("block")).agg(F.bit_or(_bits()).alias("bits"))
     bits.repartition("part").sortWithinPartitions("part", "block").write.partitionBy("part").parquet(of_gen.format("filters"))

@@ -88,3 +88,15 @@ def test_unlisted_generations_and_compaction(spark, tmp_path):
     assert sorted(r.id for r in stored_index.read_index(spark, path).collect()) == list(range(2000))
     assert spark.read.parquet(f"{path}/rows").count() == 2000  # what was replaced or never listed is gone
     assert stored_index.add_to_index(some(1990, 2010), path, ["id"]).count() == 10
+
+
+def test_a_partition_is_written_by_as_many_tasks_as_its_rows_ask_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_index, "TASK_ROWS", 500, raising=False)
+    new = spark.range(8000).select(F.concat(F.lit("a::"), "id").alias("fp"), F.col("id").alias("n"))
+    added = stored_index.add_to_index(new, str(tmp_path / "chunks"), ["n"], 2048)
+    assert sorted(r.n for r in added.collect()) == list(range(8000))
+    (gen,) = stored_index.generations(spark, str(tmp_path / "chunks")).collect()
+    of_file = added.groupBy(F.input_file_name().alias("file")).count().collect()
+    assert gen.partitions == 4 and len(of_file) == 16 and max(r["count"] for r in of_file) < 600
+    assert len({r.file.rsplit("/", 2)[1] for r in of_file}) == 4
+    assert stored_index.add_to_index(new, str(tmp_path / "chunks"), ["n"], 2048).count() == 0
