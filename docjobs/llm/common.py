@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docjobs.sources.shared import drop_folder, shared_folder
+from docjobs.sources.shared import drop_folder, shared_folder, small_batches  # noqa: F401  (operators take it from here)
 
 #: The two ASCII white-space classes that the operators name: what separates words, and what may be deleted.
 SPACES = " \t\n\x0b\x0c\r"
@@ -99,11 +99,3 @@ def one_of_each(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> Dat
     if not again.isEmpty():  # rows that are alike in id and text
         kept = kept.join(again, "key", "left_anti").unionByName(kept.join(again, "key", "left_semi").dropDuplicates(["key"]))
     return kept.select("doc.*")
-
-
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Bounds the bytes of the session's Arrow batches from here on, since the rows here are whole documents."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(key)))  # such as 64m
-    if not 0 < now <= size:  # none or less: no bound
-        spark.conf.set(key, str(size))

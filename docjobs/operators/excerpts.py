@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docjobs.sources.shared import small_batches
+
 #: Length of the seeds, and the share of a claim's length that its edit distance to a span may have.
 SEED, SHARE = 4, 0.2
 #: Claims of one document that are sought in one row.
@@ -117,8 +119,9 @@ def with_excerpts(claims: DataFrame, docs: DataFrame) -> DataFrame:
     the text word for word is found with distance 0. Claims of a document that is not in docs are not returned.
 
     Claims are gathered by document, ``TOGETHER`` at a time, so that a text is indexed once for them; only the stretches
-    around seeds that the text shares with a claim are compared.
+    around seeds that the text shares with a claim are compared. Batches are bounded in bytes, since texts go to Python whole.
     """
+    small_batches(docs.sparkSession)
     some = claims.groupBy("doc_id", F.floor(F.col("ord") / TOGETHER).alias("part")).agg(F.collect_list(F.struct("ord", "value")).alias("claims"))
     texts = docs.select("doc_id", F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text"))
     values = F.transform("claims", lambda c: F.make_valid_utf8(c["value"]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docjobs.functions.text import fuzzy_score, fuzzy_scores, normalize_text
+from docjobs.sources.shared import small_batches
 
 #: Scores from which a claim passes or is doubtful: entities, clauses.
 ENTITY_PASS, ENTITY_WARN, CLAUSE_PASS, CLAUSE_WARN = 90, 70, 85, 60
@@ -57,6 +58,7 @@ def verify_clause(df: DataFrame, claim: str = "claim", text: str = "text") -> Da
 
 
 def _verify(df: DataFrame, entity: Column, claim: str, text: str) -> DataFrame:
+    small_batches(df.sparkSession)
     df = df.withColumn("_entity", entity).withColumns(_decided(F.col(claim), F.col(text)))
     entity, none, exact, normal = (F.col(c) for c in ("_entity", "_none", "_exact", "_normal"))
     df = _with_scores(df, claim, text, ~exact & ~(entity & (none | normal)))
@@ -70,6 +72,7 @@ def quick_verify(checks: DataFrame, docs: DataFrame) -> DataFrame:
     The claims of a document go together, ``TOGETHER`` of them at most: its text is moved, normalised and prepared for
     scores once for them all.
     """
+    small_batches(docs.sparkSession)
     some = checks.groupBy("doc_id", F.floor(F.col("ord") / TOGETHER).alias("part")).agg(F.collect_list(F.struct("ord", "id", "type", "value")).alias("claims"))
     joined = some.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
     entity = lambda c: c["type"] != "clause_change"

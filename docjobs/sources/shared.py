@@ -1,4 +1,4 @@
-"""The folder that the driver and all executors share, for tables and files that are written and read back."""
+"""The folder that the driver and all executors share, for tables and files that are written and read back; the size of Arrow batches."""
 
 from __future__ import annotations
 
@@ -40,3 +40,11 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
 def folder_exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the bytes of the session's Arrow batches from here on, since the rows here are whole documents."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(key)))  # such as 64m
+    if not 0 < now <= size:  # none or less: no bound
+        spark.conf.set(key, str(size))

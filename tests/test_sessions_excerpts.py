@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docjobs.jobs import render as R
 from docjobs.jobs.queries import QUERIES
@@ -146,3 +147,19 @@ def test_registered_excerpts(spark):
         assert r.distance == distance and r.excerpt == texts[r.doc_id][r.start : end] and whole_matrix(r.value, near)[2] == r.start - max(0, end - len(r.value) - distance)
         found += distance > 0
     assert found > len(texts)
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    from docjobs.operators import verify
+
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([(1, "a text of no length")], "doc_id long, text string")
+    before = spark.conf.get(key)
+    claims = docs.selectExpr("doc_id", "0 as ord", "'a' as id", "'address' as type", "'a texd of no' as value")
+    try:
+        for f in (lambda: excerpts.with_excerpts(claims, docs), lambda: verify.quick_verify(claims, docs), lambda: verify.verify_entity(docs.withColumn("claim", F.lit("texd")))):
+            spark.conf.set(key, "1g")
+            assert f().count() == 1 and int(spark.conf.get(key)) <= 4 << 20
+            spark.conf.set(key, "1000")
+            assert f().count() == 1 and spark.conf.get(key) == "1000"  # a smaller bound stays
+    finally:
+        spark.conf.set(key, before)
