@@ -12,7 +12,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docjobs.sources.shared import drop_folder, folder_exists, shared_folder
+from docjobs.sources.shared import drop_folder, folder_exists, shared_folder, small_batches
 
 #: Query vectors and index vectors that a task holds at once, and the distances that it computes at once.
 QUERY_BLOCK, INDEX_CHUNK, TILE = 4096, 1 << 16, 1 << 22
@@ -81,14 +81,19 @@ def nearest_of(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarra
     whole = np.flatnonzero(np.isfinite(q).all(1))
     q = q[whole]
     qc, xc = q - x[0], x - x[0]
-    qq, xx = (qc**2).sum(1), (xc**2).sum(1)
+    qq, xx = np.einsum("ij,ij->i", qc, qc), np.einsum("ij,ij->i", xc, xc)
     step = max(1, TILE // len(x))
     for at in range(0, len(q), step):
         part = slice(at, at + step)
-        near, error = qq[part, None] - 2 * qc[part] @ xc.T + xx, ERROR * (qq[part, None] + xx)
+        near = qc[part] @ xc.T  # changed in place, so that a task holds one such array, and a copy while it is parted
+        near *= -2
+        near += qq[part, None] * (1 + ERROR)
+        near += xx * (1 + ERROR)
         take = min(k, len(x))
-        edge = np.partition(near + error, take - 1, axis=1)[:, take - 1]
-        i, j = np.nonzero(near - error <= edge[:, None])
+        edge = np.partition(near, take - 1, axis=1)[:, take - 1].copy()
+        near -= 2 * ERROR * qq[part, None]
+        near -= 2 * ERROR * xx
+        i, j = np.nonzero(near <= edge[:, None])
         exact = ((q[at + i] - x[j]) ** 2).cumsum(1)[:, -1]  # summed in order
         order = np.lexsort((j, exact, i))
         i, j, exact = i[order], j[order], exact[order]
@@ -111,16 +116,20 @@ def _nearest(folder: str, k: int):
             if batch.num_rows:
                 yield batch.column("query_id").to_numpy(), _matrix(batch.column("embedding")), batch.column("part").to_pandas()
 
-    def found(table: pa.Table):
-        table = table.sort_by("vec_id").combine_chunks()
+    def found(held: list):
+        table = pa.Table.from_batches(held).sort_by("vec_id").combine_chunks()
+        held.clear()  # of a chunk, only its vectors stay while they are compared
         ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("embedding").combine_chunks())
         whole = np.isfinite(x).all(1)
         code, names = pd.factorize(table.column("part").to_pandas(), use_na_sentinel=False)
         code = code[whole]
         order = np.argsort(code, kind="stable")
-        ids, x, code = ids[whole][order], x[whole][order], code[order]
+        at, code = np.flatnonzero(whole)[order], code[order]
+        ids, x = ids[at], x[at]
         known = {None if pd.isna(n) else n: c for c, n in enumerate(names)}
-        for asked, q, parts in blocks(np.unique(table.column("bucket").to_numpy()).tolist()):
+        buckets = np.unique(table.column("bucket").to_numpy()).tolist()
+        del table
+        for asked, q, parts in blocks(buckets):
             part = np.array([known.get(None if pd.isna(p) else p, -1) for p in parts])
             for c in np.unique(part[part >= 0]).tolist():
                 lo, hi = np.searchsorted(code, [c, c + 1])
@@ -135,10 +144,11 @@ def _nearest(folder: str, k: int):
             held.append(batch)
             n += batch.num_rows
             if n >= INDEX_CHUNK:
-                yield from found(pa.Table.from_batches(held))
-                held, n = [], 0
+                del batch
+                yield from found(held)
+                n = 0
         if n:
-            yield from found(pa.Table.from_batches(held))
+            yield from found(held)
 
     return rows
 
@@ -205,6 +215,7 @@ def retrieve(queries: DataFrame, index: DataFrame, search_type: str = "similarit
         return similarity_topk(queries, index, k, within).filter(relevance(F.col("dist")) >= score_threshold)
     if search_type != "mmr":
         raise ValueError(f"unknown search type {search_type}")
+    small_batches(queries.sparkSession)  # a row has fetch_k vectors
     near = similarity_topk(queries, index, fetch_k, within)
     vectors = index.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("asked"))

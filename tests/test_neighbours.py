@@ -119,3 +119,21 @@ def test_recall_over_the_given_vectors(spark):
     recall = len(hits("g6_vector_index") & exact) / len(exact)
     print("recall", recall)
     assert recall >= 0.9
+
+
+def test_distances_of_a_block_are_held_in_two_arrays_at_most():
+    import tracemalloc
+
+    from docjobs.operators.retrieve import TILE, nearest_of
+
+    rnd = np.random.default_rng(3)
+    x, q = rnd.normal(size=(4096, 8)), rnd.normal(size=(TILE // 4096, 8))
+    tracemalloc.start()
+    try:
+        (i, j, dist), = nearest_of(q, x, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    whole = ((q[:50, None] - x) ** 2).sum(2)
+    assert (j.reshape(-1, 3)[:50] == whole.argsort(1, kind="stable")[:, :3]).all() and len(dist) == 3 * len(q)
+    assert peak < 3 * 8 * TILE
